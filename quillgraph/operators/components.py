@@ -129,25 +129,30 @@ def power_law_fit(distribution: DataFrame, tail: int = 50) -> DataFrame:
     """alpha, xmin, ks, log_likelihood, lognormal_log_likelihood, ratio, mean, median from degree, nodes.
 
     Discrete maximum likelihood for every observed degree as lower bound, all at once: suffix sums over
-    the histogram give each candidate's alpha; the bound with the least Kolmogorov-Smirnov distance wins.
+    the histogram (one row per distinct degree, at most sqrt(2m) rows) give each candidate's alpha; the
+    bound with the least Kolmogorov-Smirnov distance wins.
     `tail` is the least number of nodes a candidate's tail must hold.
     """
     h = cut(distribution.filter("degree >= 1").select(F.col("degree").cast("double").alias("x"), F.col("nodes").cast("double").alias("c")))
-    bounds = h.select(F.col("x").alias("x0"))
-    grid = bounds.join(h, F.col("x") >= F.col("x0"))
-    fitted = grid.groupBy("x0").agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.ln(F.col("x") / (F.col("x0") - 0.5))).alias("s")).select(
-        "x0", "n", (1.0 + F.col("n") / F.col("s")).alias("alpha")).filter(F.col("n") >= tail)
+    down = Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tails = h.select(
+        "x", "c", F.row_number().over(Window.orderBy("x")).alias("r"), F.sum("c").over(down).alias("n"),
+        F.sum(F.col("c") * F.ln("x")).over(down).alias("sl"))
+    tails = cut(tails.withColumn("alpha", 1.0 + F.col("n") / (F.col("sl") - F.col("n") * F.ln(F.col("x") - 0.5))))
+    last = tails.agg(F.max("r")).scalar()
+    fitted = tails.filter(F.col("n") >= tail).select(
+        F.col("x").alias("x0"), "n", "alpha", F.explode(F.sequence(F.col("r"), last)).alias("r"))
+    grid = fitted.join(tails.select("r", "x", "c"), "r")
     upto = Window.partitionBy("x0").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = grid.join(fitted, "x0").withColumn("empirical", F.sum("c").over(upto) / F.col("n"))
+    seen = grid.withColumn("empirical", F.sum("c").over(upto) / F.col("n"))
     model = 1.0 - F.pow((F.col("x") + 0.5) / (F.col("x0") - 0.5), 1.0 - F.col("alpha"))
     best = seen.groupBy("x0", "n", "alpha").agg(F.max(F.abs(F.col("empirical") - model)).alias("ks")).orderBy("ks", "x0").limit(1)
-    used = h.join(F.broadcast(best), F.col("x") >= F.col("x0"))
+    picked = cut(best)
     lx = F.ln("x")
-    moments = used.agg(
-        F.first("x0").alias("xmin"), F.first("alpha").alias("alpha"), F.first("ks").alias("ks"), F.first("n").alias("n"),
-        (F.sum(F.col("c") * lx) / F.sum("c")).alias("mu"),
+    used = h.filter(F.col("x") >= picked.select("x0").scalar()).agg(
         F.sum(F.col("c") * lx).alias("sl"), F.sum(F.col("c") * lx * lx).alias("sl2"))
+    moments = used.select("sl", "sl2", *[picked.select(a).scalar().alias(b) for a, b in (
+        ("x0", "xmin"), ("alpha", "alpha"), ("ks", "ks"), ("n", "n"))]).withColumn("mu", F.col("sl") / F.col("n"))
     var = F.col("sl2") / F.col("n") - F.col("mu") * F.col("mu")
     power = F.col("n") * F.ln((F.col("alpha") - 1) / (F.col("xmin") - 0.5)) - F.col("alpha") * (
         F.col("sl") - F.col("n") * F.ln(F.col("xmin") - 0.5))

@@ -374,13 +374,14 @@ def _(spark, d):
 
 
 @query("strongest_topics_of_article", "A9 S4 W2 F12 PF12", """
-SELECT id, list(topic ORDER BY rk) AS topics, list(weight ORDER BY rk) AS weights FROM
+SELECT id, string_agg(topic, ' ' ORDER BY rk) AS topics, string_agg(weight::BIGINT, ' ' ORDER BY rk) AS weights FROM
  (SELECT id, topic, weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, topic) AS rk FROM has_topic)
 WHERE rk <= 3 GROUP BY id""")
 def _(spark, d):
     best = rk.top_per_group(t.has_topic(spark, d), ["id"], [F.desc("weight"), F.col("topic")], 3)
     packed = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "topic", "weight"))).alias("p"))
-    return packed.select("id", F.col("p.topic").alias("topics"), F.col("p.weight").alias("weights"))
+    return packed.select("id", F.array_join(F.col("p.topic").cast("array<string>"), " ").alias("topics"),
+                         F.array_join(F.transform("p.weight", lambda w: w.cast("bigint").cast("string")), " ").alias("weights"))
 
 
 @query("topic_distinct_members", "A13 A5", "SELECT topic, count(DISTINCT id) AS articles FROM has_topic GROUP BY topic")

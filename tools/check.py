@@ -12,6 +12,7 @@ import time
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from quillgraph.plans.registry import REGISTRY  # noqa: E402
@@ -76,11 +77,12 @@ def compare(spark, con, entry, sf_dir):
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     wanted = sys.argv[2:]
+    SparkSession.builder.config("spark.ui.showConsoleProgress", "false")
     spark = get_session("check", 8)
     spark.sparkContext.setLogLevel("ERROR")
     bad = []
     for name, entry in REGISTRY.items():
-        if wanted and not any(name.startswith(w) or w in entry.covers for w in wanted):
+        if wanted and not any(name.startswith(w) or w in entry.covers or entry.run.__module__.endswith("." + w) for w in wanted):
             continue
         con = duck(sf_dir)
         try:
