@@ -127,9 +127,10 @@ def _local_moves(level: _Level, start: DataFrame, iterations: int, min_gain: flo
         mine = state.select("id", F.col("comm").alias("own"), "k", "loop")
         options = cut(pull.join(size, "comm").join(mine, "id"))
         here = F.col("comm") == F.col("own")
-        inner = options.filter(here).agg(F.sum(F.col("w") + F.col("loop")).alias("i")).first()["i"] or 0.0
-        square = size.agg(F.sum(F.col("mass") * F.col("mass")).alias("s")).first()["s"] or 0.0
-        q = inner / two_m - square / (two_m * two_m) if two_m else 0.0
+        # the sum of k * mass(own) over nodes is the sum of mass squared over communities
+        sums = options.filter(here).agg(
+            F.sum(F.col("w") + F.col("loop")).alias("inner"), F.sum(F.col("k") * F.col("mass")).alias("square")).first()
+        q = (sums["inner"] or 0.0) / two_m - (sums["square"] or 0.0) / (two_m * two_m) if two_m else 0.0
         if best_q is not None and q <= best_q + 1e-12:
             idle += 1
             state = best_state

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.session import cut
+from quillgraph.session import cut, keep_partitioned
 
 NATURAL, REVERSE, UNDIRECTED = "natural", "reverse", "undirected"
 
@@ -144,7 +144,9 @@ def quality_report(graph: Graph) -> DataFrame:
 # ---------------------------------------------------------------- message passing
 
 class Adjacency:
-    """Edges partitioned once by one end and reused in every round of an iteration.
+    """Edges partitioned and sorted once by one end, and reused in every round of an iteration.
+
+    A merge join with a state then neither moves nor sorts the edges again.
 
     A key with more than `max(min_rows, rows / hot_limit)` edges is hot. Its edges get a slot number
     and are spread over slots; its state row is copied once per slot. At most `hot_limit` keys can be
@@ -156,7 +158,7 @@ class Adjacency:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.key = key
         other = "dst" if key == "src" else "src"
-        keyed = cut(edges.repartition(parts, key))
+        keyed = keep_partitioned(edges.repartition(parts, key).sortWithinPartitions(key))
         rows = keyed.count()
         self.rows = rows
         self.hot: DataFrame | None = None
@@ -168,10 +170,10 @@ class Adjacency:
             )
             if hot.count():
                 self.hot = hot
-                keyed = cut(
+                keyed = keep_partitioned(
                     keyed.join(F.broadcast(hot), keyed[key] == hot["__hot"], "left")
                     .withColumn("__slot", F.pmod(F.xxhash64(other), F.coalesce("__slots", F.lit(1))).cast("int"))
-                    .drop("__hot", "__slots").repartition(parts, key, "__slot")
+                    .drop("__hot", "__slots").repartition(parts, key, "__slot").sortWithinPartitions(key, "__slot")
                 )
         self.edges = keyed
 

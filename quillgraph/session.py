@@ -42,7 +42,19 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` reliably and drop its lineage."""
+    """Write `df` as a table in the shared checkpoint folder and read it back, without its lineage.
+
+    The table has its true size, so the next join may broadcast it when it is small and shuffles it when
+    it is not. (A checkpoint would keep the plan's estimate, and in a loop that joins a state with
+    itself the estimate squares every round.)
+    """
+    path = scratch_path(df.sparkSession, "state")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_partitioned(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint that keeps the partitioning and order of `df` known to later joins."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
