@@ -3,3 +3,4 @@
 from quillgraph.plans import explore  # noqa: F401
 from quillgraph.plans import centrality  # noqa: F401
 from quillgraph.plans import clusters  # noqa: F401
+from quillgraph.plans import text  # noqa: F401

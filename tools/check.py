@@ -12,7 +12,6 @@ import time
 from pathlib import Path
 
 import duckdb
-from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from quillgraph.plans.registry import REGISTRY  # noqa: E402
@@ -77,7 +76,6 @@ def compare(spark, con, entry, sf_dir):
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     wanted = sys.argv[2:]
-    SparkSession.builder.config("spark.ui.showConsoleProgress", "false")
     spark = get_session("check", 8)
     spark.sparkContext.setLogLevel("ERROR")
     bad = []
