@@ -152,8 +152,8 @@ def _local_moves(level: _Level, start: DataFrame, iterations: int, min_gain: flo
             F.max(F.when(here, F.col("gain"))).alias("stay"), F.first("own").alias("own"),
             F.first("k").alias("k"), F.first("loop").alias("loop"))
         better = turn & (-F.col("best.g") > F.col("stay"))
-        state = cut(chosen.select("id", F.when(better, F.col("best.comm")).otherwise(F.col("own")).alias("comm"), "k", "loop"))
-    return best_state.select("id", "comm"), best_q or 0.0
+        state = chosen.select("id", F.when(better, F.col("best.comm")).otherwise(F.col("own")).alias("comm"), "k", "loop")
+    return cut(best_state.select("id", "comm")), best_q or 0.0
 
 
 def _contract(level: _Level, comm: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -185,10 +185,11 @@ PROFILE_SIZE = 300
 
 
 def _trigrams(docs: DataFrame, *keys: str) -> DataFrame:
-    text = F.lower("text")
-    grams = F.expr("transform(sequence(1, length(lower(text)) - 2), i -> substring(lower(text), i, 3))")
-    return docs.filter(F.length(text) >= 3).select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(
-        F.count("*").alias("c"))
+    """keys..., gram, c: the text is cut into characters once, so a document costs its length."""
+    chars = docs.select(*keys, F.split(F.lower("text"), "").alias("chars")).filter(F.size("chars") >= 3)
+    first, second, third = (F.slice("chars", F.lit(k), F.size("chars") - 2) for k in (1, 2, 3))
+    grams = F.zip_with(F.zip_with(first, second, F.concat), third, F.concat)
+    return chars.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("c"))
 
 
 def language_profiles(labelled: DataFrame) -> DataFrame:

@@ -328,8 +328,9 @@ def _(spark, d):
     return te.extract_keywords(docs).select("id", "keyword", F.round("score", 9).alias("score"), "rank")
 
 
-_LANGUAGE = """WITH g AS MATERIALIZED (SELECT id, language, substr(x, i, 3) AS gram, count(*) AS c FROM
-  (SELECT id, language, lower(text) AS x, unnest(range(1, length(lower(text)) - 1)) AS i FROM docs WHERE length(lower(text)) >= 3) GROUP BY ALL),
+_LANGUAGE = """WITH g AS MATERIALIZED (SELECT id, language, gram, count(*) AS c FROM (SELECT id, language, i, x || lead(x, 1) OVER l || lead(x, 2) OVER l AS gram FROM
+  (SELECT id, language, unnest(range(len(cs))) AS i, unnest(cs) AS x FROM (SELECT id, language, string_split(lower(text), '') AS cs FROM docs))
+  WINDOW l AS (PARTITION BY id ORDER BY i)) WHERE gram IS NOT NULL GROUP BY ALL),
 b AS MATERIALIZED (SELECT * FROM (SELECT language, gram, sum(c) AS c, row_number() OVER (PARTITION BY language ORDER BY sum(c) DESC, gram) AS rk FROM g GROUP BY language, gram) WHERE rk <= 300),
 t AS (SELECT language, sum(c) + 300 AS t FROM b GROUP BY language),
 h AS (SELECT g.id, b.language, sum(g.c * ln((b.c + 1)::DOUBLE)) AS s FROM g JOIN b ON g.gram = b.gram GROUP BY ALL),
