@@ -188,7 +188,8 @@ def _trigrams(docs: DataFrame, *keys: str) -> DataFrame:
     """keys..., gram, c: the text is cut into characters once, so a document costs its length."""
     chars = docs.select(*keys, F.split(F.lower("text"), "").alias("chars")).filter(F.size("chars") >= 3)
     first, second, third = (F.slice("chars", F.lit(k), F.size("chars") - 2) for k in (1, 2, 3))
-    grams = F.zip_with(F.zip_with(first, second, F.concat), third, F.concat)
+    pairs = F.zip_with(first, second, lambda a, b: F.concat(a, b))
+    grams = F.zip_with(pairs, third, lambda a, b: F.concat(a, b))
     return chars.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("c"))
 
 
