@@ -158,24 +158,25 @@ class Adjacency:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.key = key
         other = "dst" if key == "src" else "src"
-        keyed = keep_partitioned(edges.repartition(parts, key).sortWithinPartitions(key))
-        rows = keyed.count()
+        stored = cut(edges)
+        rows = stored.count()
         self.rows = rows
         self.hot: DataFrame | None = None
         if rows > min_rows:
             limit = max(min_rows, math.ceil(rows / hot_limit))
             hot = cut(
-                keyed.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("c")).filter(F.col("c") > limit)
+                stored.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("c")).filter(F.col("c") > limit)
                 .select("__hot", F.ceil(F.col("c") / limit).cast("int").alias("__slots"))
             )
             if hot.count():
                 self.hot = hot
-                keyed = keep_partitioned(
-                    keyed.join(F.broadcast(hot), keyed[key] == hot["__hot"], "left")
+                slotted = cut(
+                    stored.join(F.broadcast(hot), stored[key] == hot["__hot"], "left")
                     .withColumn("__slot", F.pmod(F.xxhash64(other), F.coalesce("__slots", F.lit(1))).cast("int"))
-                    .drop("__hot", "__slots").repartition(parts, key, "__slot").sortWithinPartitions(key, "__slot")
-                )
-        self.edges = keyed
+                    .drop("__hot", "__slots"))
+                stored = slotted
+        keys = [key] if self.hot is None else [key, "__slot"]
+        self.edges = keep_partitioned(stored.repartition(parts, *keys).sortWithinPartitions(*keys))
 
     def attach(self, state: DataFrame, on: str = "id") -> DataFrame:
         """Join every edge with the state row of its key end (columns of both; `on` is dropped)."""

@@ -11,12 +11,12 @@ from quillgraph.operators import topics as to
 from quillgraph.operators.explore import threshold_profile
 from quillgraph.plans.explore import r6
 from quillgraph.plans.registry import query
-from quillgraph.session import cut
+from quillgraph.session import cut, spread
 from quillgraph.sources import tables as t
 
 
 def english_tokens(spark, d, stop_words=True):
-    docs = t.docs(spark, d).filter(F.col("language") == "en")
+    docs = spread(t.docs(spark, d).filter(F.col("language") == "en").select("id", "year", "text"), "id")
     tokens = tx.words(F.col("text"))
     return docs.select("id", "year", (tx.remove_stop_words(tokens) if stop_words else tokens).alias("tokens"))
 
@@ -38,7 +38,7 @@ k AS (SELECT id, sentence, unnest(range(len(x)))::INT AS pos, unnest(x) AS token
   regexp_extract_all(s, '[\p{L}\p{N}]+(?:[-''][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]') AS x FROM s))
 SELECT id, max(sentence + 1)::INT AS sentences, count(*) AS tokens, count(DISTINCT token) AS distinct_tokens, sum(pos)::BIGINT AS positions FROM k GROUP BY id""")
 def _(spark, d):
-    return tx.token_rows(t.docs(spark, d)).groupBy("id").agg(
+    return tx.token_rows(spread(t.docs(spark, d).select("id", "text"), "id")).groupBy("id").agg(
         (F.max("sentence") + 1).alias("sentences"), F.count("*").alias("tokens"), F.countDistinct("token").alias("distinct_tokens"),
         F.sum("pos").alias("positions"))
 
@@ -324,7 +324,7 @@ SELECT id, keyword, round(score, 9) AS score, "rank" FROM (SELECT *, row_number(
 
 @query("extract_keywords", "TX15 TX1 S4", _KEYWORDS)
 def _(spark, d):
-    docs = t.docs(spark, d).filter(F.col("language") == "en")
+    docs = spread(t.docs(spark, d).filter(F.col("language") == "en").select("id", "text"), "id")
     return te.extract_keywords(docs).select("id", "keyword", F.round("score", 9).alias("score"), "rank")
 
 
@@ -342,12 +342,12 @@ det AS (SELECT id, language AS detected FROM (SELECT *, row_number() OVER (PARTI
 
 @query("detect_language", "TX16", _LANGUAGE + "SELECT id, detected FROM det")
 def _(spark, d):
-    docs = t.docs(spark, d)
+    docs = spread(t.docs(spark, d).select("id", "language", "text"), "id")
     return te.detect_language(docs, te.language_profiles(docs))
 
 
 @query("documents_per_detected_language", "TX16 A2 S2", _LANGUAGE + "SELECT detected, count(*) AS documents FROM det GROUP BY detected ORDER BY documents DESC, detected")
 def _(spark, d):
-    docs = t.docs(spark, d)
+    docs = spread(t.docs(spark, d).select("id", "language", "text"), "id")
     found = te.detect_language(docs, te.language_profiles(docs))
     return found.groupBy("detected").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "detected")

@@ -54,12 +54,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ADAPTIVE = "spark.sql.adaptive.enabled"
+
+
 def keep_partitioned(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint that keeps the partitioning and order of `df` known to later joins."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint whose partitioning and order later joins can rely on.
+
+    An adaptive plan does not tell its partitioning, so this one plan (a repartition and sort of a
+    stored table) is not adaptive.
+    """
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    before = spark.conf.get(ADAPTIVE)
+    spark.conf.set(ADAPTIVE, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(ADAPTIVE, before)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """New path for an intermediate table, in the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core for a table with fewer splits than cores (one small file); a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

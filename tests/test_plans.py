@@ -32,3 +32,22 @@ def test_filters_reach_the_scan(spark):
 
 def test_rank_filter_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in physical(REGISTRY["strongest_topics_of_article"].run(spark, SF))
+
+
+def test_stored_edges_are_not_shuffled_or_sorted_again(spark, make):
+    from pyspark.sql import functions as F
+
+    from quillgraph.operators.graph import Adjacency
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = make([(i, (i * 7) % 50) for i in range(50)])
+        adjacency = Adjacency(g.edges, "src")
+        one = adjacency.attach(g.nodes.select("id", F.lit(1.0).alias("x"))).groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("x"))
+        plan = physical(adjacency.attach(one).groupBy("dst").agg(F.sum("x")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # state by id, messages of round one, messages of round two; the edges are in neither
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert plan.count("Sort [src") == 0
