@@ -143,6 +143,10 @@ def quality_report(graph: Graph) -> DataFrame:
 
 # ---------------------------------------------------------------- message passing
 
+FEW_PARTITIONS = 16
+ROWS_PER_PARTITION = 50_000
+
+
 class Adjacency:
     """Edges partitioned and sorted once by one end, and reused in every round of an iteration.
 
@@ -155,12 +159,14 @@ class Adjacency:
 
     def __init__(self, edges: DataFrame, key: str, min_rows: int = 50_000, hot_limit: int = 1000):
         spark = edges.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.key = key
         other = "dst" if key == "src" else "src"
         stored = cut(edges)
         rows = stored.count()
         self.rows = rows
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if parts > FEW_PARTITIONS:  # a small graph under a cluster-sized setting: avoid near-empty tasks
+            parts = min(parts, max(FEW_PARTITIONS, math.ceil(rows / ROWS_PER_PARTITION)))
         self.hot: DataFrame | None = None
         if rows > min_rows:
             limit = max(min_rows, math.ceil(rows / hot_limit))
