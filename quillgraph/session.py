@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,19 +28,36 @@ def get_session(app: str = "quillgraph", cores: int | str = "*", shuffle_partiti
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the one the cluster names, or a fresh local one in local mode only."""
+    """Shared folder for intermediate data: the one the cluster names, else a folder beside the warehouse.
+
+    The fallback is removed when the session's JVM ends.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        if named:
-            sc.setCheckpointDir(named)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    if not named and sc.getCheckpointDir() is None:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        own = f"{warehouse}/_scratch/{sc.applicationId}"
+        fs, path = _file_system(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc.setCheckpointDir(own)
+    elif named and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
     return named or sc.getCheckpointDir()
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop file system and path object, so any store that Spark reaches will do."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and read it back, without its lineage.
 
