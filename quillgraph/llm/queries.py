@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import exact_dedup, simhash
-from quillgraph.llm.common import table
+from quillgraph.llm import chat_format, exact_dedup, html_extract, language_id, mixing, simhash, warc
+from quillgraph.llm.common import remainder, table
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -21,6 +21,57 @@ def register(sql: str | None = None):
     return add
 
 
+@register(r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+esc AS (SELECT *, lag(role) OVER w AS before,
+    length(text) + length(regexp_replace(text, '[^<\[\\]', '', 'g')) AS n_text,
+    length(role) + length(regexp_replace(role, '[^<\[\\]', '', 'g')) AS n_role
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(n_text + CASE WHEN before IS NOT DISTINCT FROM role THEN length('<|cont|>') ELSE length('<|start|><|sep|><|end|>') + n_role END) AS BIGINT) AS formatted_chars
+FROM esc GROUP BY conv_id""")
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    chats = chat_format.format_chats(rows)
+    read = chats.select("conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"), chat_format.read_back(F.col("formatted")).alias("turns"),
+                        chat_format.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+                       F.length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+@register(r"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS place FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
+weighed AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS BIGINT) AS w, source_size * 3 AS cap FROM sums),
+leveled AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+    / CAST(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM weighed),
+fixed AS (SELECT arg_min(level, (cap / w, source)) AS level FROM leveled WHERE level * w <= cap),
+goals AS (SELECT source, source_size, w, CASE WHEN (SELECT level FROM fixed) IS NULL THEN CAST(cap AS DOUBLE)
+    ELSE least(CAST(cap AS DOUBLE), (SELECT level FROM fixed) * w) END AS target FROM weighed),
+parts AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM goals),
+ties AS (SELECT r.source, r.place, sum(r.size) AS n FROM rows r GROUP BY r.source, r.place),
+run AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ties),
+took AS (SELECT t.source, t.place, p.source_size, p.target, p.whole, (t.below + t.n <= p.target - p.whole * p.source_size AND t.n > 0)
+      OR ((p.target - p.whole * p.source_size) - t.below) * 2 > t.n AS once
+  FROM run t JOIN parts p ON t.source IS NOT DISTINCT FROM p.source)
+SELECT r.doc_id, r.size, k.source_size, k.target, CAST(r.size * least(3, k.whole + CAST(k.once AS BIGINT)) AS BIGINT) AS taken
+FROM rows r JOIN took k ON r.source IS NOT DISTINCT FROM k.source AND r.place = k.place""")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @register()
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -39,3 +90,28 @@ best AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM best""")
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@register()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = language_id.fit(docs.filter(~held_out))
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+@register(r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(h, CAST(1 + (5 * i) // 4 AS INT), 2) AS INT) >> CAST(3 - (5 * i) % 4 AS INT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM first""")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.through_archives(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register()
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
