@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat_format, exact_dedup, html_extract, language_id, mixing, simhash, warc
+from quillgraph.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, mixing, simhash, warc
 from quillgraph.llm.common import remainder, table
 
 QUERIES = {}
@@ -115,3 +115,23 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@register(r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(list_slice(words, i, i + least(10, len(words)) - 1), ' ') AS w
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM items WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM docs),
+hits AS (SELECT p.rid, p.i, s.n, w.item_id FROM places p CROSS JOIN sizes s
+  JOIN windows w ON w.n = s.n AND p.i + s.n - 1 <= len(p.words) AND w.w = array_to_string(list_slice(p.words, p.i, p.i + s.n - 1), ' ')),
+covered AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM hits) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+  sha256(coalesce(n.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c USING (rid) LEFT JOIN named n USING (rid)""")
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
