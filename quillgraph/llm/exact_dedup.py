@@ -18,20 +18,12 @@ keeps one. Extra columns pass through `survivors` under any name. An empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.bloom import tested
 from quillgraph.llm.common import free_name, join_hot, store
-from quillgraph.llm.words import mix
 
-SEGMENT_BITS = 1 << 16
-BITS_A_ROW = 16
-MAX_BITS = 1 << 31
-PROBES = 4
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -45,88 +37,16 @@ def head(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def segments_for(rows: int) -> int:
-    return max(1, min(MAX_BITS, rows * BITS_A_ROW) // SEGMENT_BITS)
-
-
-def probes(heads: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment of each head and its PROBES bit positions there."""
-    h = mix(heads.astype(np.uint64))
-    place = ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
-    more = mix(h ^ np.uint64(0x9E3779B97F4A7C15))
-    shifts = np.arange(PROBES, dtype=np.uint64) * np.uint64(16)
-    return place.astype(np.int64), ((more[:, None] >> shifts) & np.uint64(0xFFFF)).astype(np.int64)
-
-
-def repeated_bits(heads: DataFrame, rows: int) -> np.ndarray:
-    """Bitmap (one byte per 8 bits) of the positions that were set by more than one row; `heads` has one bigint column."""
-    segments = segments_for(rows)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place, bits = probes(batch.column(0).to_numpy(zero_copy_only=False), segments)
-            flat = np.sort((place[:, None] * SEGMENT_BITS + np.sort(bits, axis=1)).ravel())
-            # a row with two probes on one bit must not look like two rows: such probes count once per row
-            twin = np.sort(place[:, None] * SEGMENT_BITS + np.sort(bits, axis=1), axis=1)
-            same = np.sort(twin[:, 1:][twin[:, 1:] == twin[:, :-1]])
-            at, n = np.unique(flat, return_counts=True)
-            if len(same):
-                extra, times = np.unique(same, return_counts=True)
-                n[np.searchsorted(at, extra)] -= times
-            owner = at // SEGMENT_BITS
-            cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-            ends = np.append(cuts[1:], len(at))
-            low = (at % SEGMENT_BITS).astype(np.uint16)
-            once = [low[a:b].tobytes() for a, b in zip(cuts, ends)]
-            twice = [low[a:b][n[a:b] > 1].tobytes() for a, b in zip(cuts, ends)]
-            yield pa.record_batch([pa.array(owner[cuts], pa.int64()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())],
-                                  names=["segment", "once", "twice"])
-
-    def merge(parts: pa.Table) -> pa.Table:
-        count = np.zeros(SEGMENT_BITS, np.uint8)
-        for once, twice in zip(parts.column("once"), parts.column("twice")):
-            for bits in (once, twice):
-                at = np.frombuffer(bits.as_buffer(), np.uint16)
-                count[at] = np.minimum(count[at] + 1, 2)
-        return pa.table({"segment": parts.column("segment").slice(0, 1), "bits": pa.array([np.packbits(count > 1).tobytes()], pa.binary())})
-
-    built = heads.mapInArrow(build, "segment bigint, once binary, twice binary")
-    merged = built.groupBy("segment").applyInArrow(merge, "segment bigint, bits binary")
-    whole = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for r in merged.toLocalIterator():  # at most MAX_BITS bits in all
-        whole[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return whole.ravel()
-
-
-def maybe_repeated(keys: DataFrame, rows: int) -> DataFrame:
-    """`keys` (with a bigint column `head`) plus a column `maybe`: false only where no other row has that head."""
-    spark = keys.sparkSession
-    segments = segments_for(rows)
-    shared = spark.sparkContext.broadcast(repeated_bits(keys.select("head"), rows))
-    head_at = keys.columns.index("head")
-    schema = keys.withColumn("maybe", F.lit(True)).schema
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            place, at = probes(batch.column(head_at).to_numpy(zero_copy_only=False), segments)
-            at += place[:, None] * SEGMENT_BITS
-            hit = ((bits[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1)
-            yield pa.record_batch([*batch.columns, pa.array(hit)], names=[*batch.schema.names, "maybe"])
-
-    return keys.mapInArrow(test, schema)
-
-
 def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_chars, text_sha256, keep_id, group_size, kept."""
     plain = normalised(F.col(text))
     keys = store(docs.select(
         F.col(doc_id).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("n_chars"),
         F.sha2(plain.cast("binary"), 256).alias("text_sha256")).withColumn("head", head(F.col("text_sha256"))), "digests")
-    tested = store(maybe_repeated(keys, keys.count()), "tested")
-    alone = tested.filter(~F.col("maybe")).select(
+    flagged = store(tested(keys, "head", "maybe", least=2), "tested")
+    alone = flagged.filter(~F.col("maybe")).select(
         "doc_id", "n_chars", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
-    rest = tested.filter("maybe").select("doc_id", "n_chars", "text_sha256")
+    rest = flagged.filter("maybe").select("doc_id", "n_chars", "text_sha256")
     order = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
     groups = store(rest.groupBy("text_sha256").agg(F.min(order).alias("best"), F.count("*").alias("group_size")).select(
         "text_sha256", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("most"), "group_size"), "groups")

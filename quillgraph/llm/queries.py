@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, mixing, simhash, warc
+from quillgraph.llm import chat_format, decontaminate, exact_dedup, fm_dedup, html_extract, language_id, mixing, simhash, warc
 from quillgraph.llm.common import remainder, table
 
 QUERIES = {}
@@ -135,3 +135,8 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) A
 FROM docs d LEFT JOIN covered c USING (rid) LEFT JOIN named n USING (rid)""")
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
+@register()
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")

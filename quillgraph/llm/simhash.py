@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import free_name, join_hot, row_key, store
 from quillgraph.llm.components import roots
-from quillgraph.llm.words import Words, loads, words_of
+from quillgraph.llm.words import Words, joined, loads, words_of
 
 SEED = 42
 SHINGLE = 3
@@ -86,18 +86,8 @@ def shingle_hashes(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
     stop = w.first[1:][row]
     chosen = np.flatnonzero((i + size <= stop) | ((i == w.first[:-1][row]) & (n[row] < size)))
     last = np.minimum(chosen + size, stop[chosen]) - 1
-    # one space after each word: keep the first separator of every run
-    keep = np.zeros(len(w.data) + 1, bool)
-    marks = np.zeros(len(w.data) + 1, np.int8)
-    np.add.at(marks, w.start, 1)
-    np.add.at(marks, w.end, -1)
-    inside = np.cumsum(marks[:-1], dtype=np.int8).astype(bool)
-    keep[:-1] = inside
-    keep[w.end] = True
-    data = np.append(w.data, np.uint8(0x20))
-    data[:-1][~inside] = 0x20
-    place = np.cumsum(keep) - 1
-    return xxh64(data[keep], place[w.start[chosen]], place[w.start[last]] + (w.end[last] - w.start[last])), row[chosen]
+    data, place = joined(w)
+    return xxh64(data, place[chosen], place[last] + (w.end[last] - w.start[last])), row[chosen]
 
 
 def fold(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:

@@ -88,6 +88,19 @@ def spans(part: np.ndarray, bounds: np.ndarray, row: int, breaks: np.ndarray) ->
     return Words(row, len(bounds) - 1, part, start, end, np.searchsorted(start, bounds))
 
 
+def joined(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one space after each (but not between rows that touch), and where each word begins there."""
+    marks = np.zeros(len(w.data) + 1, np.int8)
+    marks[w.start] += 1
+    marks[w.end] -= 1
+    inside = np.cumsum(marks[:-1], dtype=np.int8).astype(bool)
+    keep = np.append(inside, False)
+    keep[w.end] = True
+    data = np.append(w.data, np.uint8(0x20))
+    data[:-1][~inside] = 0x20
+    return data[keep], (np.cumsum(keep) - 1)[w.start]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the 64 output bits."""
     h = (h ^ (h >> _U(30))) * _MIX1
