@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat_format, decontaminate, exact_dedup, fm_dedup, html_extract, language_id, mixing, simhash, warc
+from quillgraph.llm import chat_format, decontaminate, exact_dedup, fm_dedup, html_extract, language_id, mixing, ngram_lm, simhash, warc
 from quillgraph.llm.common import remainder, table
 
 QUERIES = {}
@@ -140,3 +140,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register()
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
