@@ -29,7 +29,7 @@ def cooccurrence(tokens: DataFrame, window: int = 7, by: tuple[str, ...] = (), m
     The token array is zipped with itself shifted by 1..window-1, so a document of n tokens yields
     (window - 1) * n pairs, and pair counts are combined before the shuffle.
     """
-    shifted = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window - 1)), lambda k: F.zip_with(
+    shifted = F.flatten(F.transform(F.array(*[F.lit(k) for k in range(1, window)]).cast("array<int>"), lambda k: F.zip_with(
         F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - k, F.lit(0))),
         F.slice("tokens", k + 1, F.size("tokens")),
         lambda a, b: F.struct(F.greatest(a, b).alias("first"), F.least(a, b).alias("second")))))

@@ -11,13 +11,14 @@ RULES = ("sum", "max", "overwrite")
 
 
 def merge_rows(rows: DataFrame, keys: Sequence[str], rules: Mapping[str, str], order: str | None = None) -> DataFrame:
-    """Collapse rows of equal key: "sum" adds, "max" keeps the greatest, "overwrite" the value with the greatest `order`."""
+    """Collapse rows of equal key: "sum" adds, "max" keeps the greatest, "overwrite" the value with the greatest
+    `order` (of equal ones, the greatest value)."""
     aggs = []
     for column, rule in rules.items():
         if rule not in RULES:
             raise ValueError(f"unknown rule {rule}")
         pick = {"sum": F.sum(column), "max": F.max(column)}.get(rule)
-        aggs.append((pick if pick is not None else F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order)))).alias(column))
+        aggs.append((pick if pick is not None else F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(order, column)))).alias(column))
     return rows.groupBy(*keys).agg(*aggs)
 
 

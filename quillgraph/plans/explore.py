@@ -270,15 +270,50 @@ def _(spark, d):
     return t.articles(spark, d).filter(F.col("known_category").isNull() & (F.col("year") == t.EVALUATION_YEAR)).select("id", "year")
 
 
-# Readable names of category codes.
-CATEGORY_NAMES = {
-    1: "Artificial Intelligence", 2: "Hardware Architecture", 3: "Computational Complexity",
-    4: "Computational Engineering", 5: "Computational Geometry", 6: "Computation and Language",
-    7: "Cryptography and Security", 8: "Computer Vision", 9: "Computers and Society", 10: "Databases",
-    11: "Distributed Computing", 12: "Digital Libraries", 13: "Discrete Mathematics", 14: "Data Structures",
-    15: "Emerging Technologies", 16: "Formal Languages", 17: "General Literature", 18: "Graphics",
-    19: "Game Theory", 20: "Human-Computer Interaction",
-}
+# Readable names of the category codes 1 to 40.
+_NAMES = (
+    "Artificial Intelligence",
+    "Computation and Language",
+    "Computational Complexity",
+    "Computational Engineering, Finance, and Science",
+    "Computational Geometry",
+    "Computer Science and Game Theory",
+    "Computer Vision and Pattern Recognition",
+    "Computers and Society",
+    "Cryptography and Security",
+    "Data Structures and Algorithms",
+    "Databases",
+    "Digital Libraries",
+    "Discrete Mathematics",
+    "Distributed, Parallel, and Cluster Computing",
+    "Emerging Technologies",
+    "Formal Languages and Automata Theory",
+    "General Literature",
+    "Graphics",
+    "Hardware Architecture",
+    "Human-Computer Interaction",
+    "Information Retrieval",
+    "Information Theory",
+    "Logic in Computer Science",
+    "Machine Learning",
+    "Mathematical Software",
+    "Multiagent Systems",
+    "Multimedia",
+    "Networking and Internet Architecture",
+    "Neural and Evolutionary Computing",
+    "Numerical Analysis",
+    "Operating Systems",
+    "Other Computer Science",
+    "Performance",
+    "Programming Languages",
+    "Robotics",
+    "Social and Information Networks",
+    "Software Engineering",
+    "Sound",
+    "Symbolic Computation",
+    "Systems and Control",
+)
+CATEGORY_NAMES = dict(enumerate(_NAMES, 1))
 _CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in CATEGORY_NAMES.items())
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 EDGE_SCHEMA = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
-TITLE_SCHEMA = "paper_id bigint, title string, abstract string"
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -26,10 +25,11 @@ def read_positional(spark: SparkSession, path: str, column: str, kind: str = "in
     """id, column: headerless one-column files whose 0-based line number is the key.
 
     Lines are numbered inside each file split and shifted by the lines of earlier splits, so a large
-    file is read in parallel. Files of a folder count in name order.
+    file is read in parallel. Files of a folder count in name order. A blank or unreadable line is null
+    and keeps its number.
     """
-    lines = spark.read.schema("value string").csv(path).select(
-        F.col("value").try_cast(kind).alias(column),
+    lines = spark.read.text(path).select(
+        F.trim("value").try_cast(kind).alias(column),
         F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__seq"))
     here = F.row_number().over(Window.partitionBy("__file", "__start").orderBy("__seq")) - 1
@@ -46,9 +46,16 @@ def read_csv_header(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_titles_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated paper_id, title, abstract without header; inner quotes are escaped with a backslash."""
-    raw = spark.read.schema(TITLE_SCHEMA).option("sep", "\t").option("quote", "").option("maxCharsPerColumn", -1).csv(path)
-    return raw.select("paper_id", *[F.regexp_replace(c, r'\\\\"', '"').alias(c) for c in ("title", "abstract")])
+    """Tab-separated paper_id, title, abstract without header or quoting; a quote inside is escaped with one backslash."""
+    parts = spark.read.text(path).select(F.split("value", "\t", 3).alias("p"))
+    return parts.select(F.col("p")[0].try_cast("bigint").alias("paper_id"),
+                        *[F.regexp_replace(F.get("p", F.lit(i)), r'\\"', '"').alias(c) for i, c in ((1, "title"), (2, "abstract"))])
+
+
+def write_titles_tsv(df: DataFrame, path: str) -> None:
+    """The same format from paper_id, title, abstract; tabs and line ends become blanks, quotes not yet escaped are escaped."""
+    texts = [F.regexp_replace(F.regexp_replace(c, r"[\t\r\n]", " "), r'(?<!\\)"', r'\\"') for c in ("title", "abstract")]
+    df.select(F.concat_ws("\t", F.col("paper_id").cast("string"), *texts).alias("value")).write.text(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType, partitions: int | None = None,
