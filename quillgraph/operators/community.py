@@ -109,6 +109,11 @@ def _local_moves(level: _Level, start: DataFrame, iterations: int, min_gain: flo
 
     Movers alternate by id parity. A round yields the modularity of the state it starts from; a round
     that did not raise it is undone. `inside` (id, bound) keeps moves within the given groups.
+
+    Nothing here depends on the size of the total weight. Gains are compared as w * 2m - k * mass, exact for integer
+    weights. The rise of a round is the sum of what each node gained, so heavy parts that stay as they are cancel node by
+    node. The search ends when two rounds in a row raise modularity by less than `min_gain` and move fewer than that
+    share of the nodes.
     """
     links = level.links
     if inside is not None:
@@ -118,7 +123,7 @@ def _local_moves(level: _Level, start: DataFrame, iterations: int, min_gain: flo
     adjacency = Adjacency(links.select("src", "dst", "weight"), "dst")
     two_m = level.total
     state = cut(start.join(level.strength, "id").select("id", "comm", "k", "loop"))
-    best_state, best_q, idle = state, None, 0
+    best_state, best_q, idle, moved = state, None, 0, 1.0
     for i in range(iterations + 1):
         votes = adjacency.attach(state.select("id", "comm")).select(F.col("src").alias("id"), "comm", F.col("weight").alias("w"))
         held = state.select("id", "comm", F.lit(0.0).alias("w"))
@@ -128,31 +133,40 @@ def _local_moves(level: _Level, start: DataFrame, iterations: int, min_gain: flo
         options = cut(pull.join(size, "comm").join(mine, "id"))
         here = F.col("comm") == F.col("own")
         # the sum of k * mass(own) over nodes is the sum of mass squared over communities
-        sums = options.filter(here).agg(
-            F.sum(F.col("w") + F.col("loop")).alias("inner"), F.sum(F.col("k") * F.col("mass")).alias("square")).first()
-        q = (sums["inner"] or 0.0) / two_m - (sums["square"] or 0.0) / (two_m * two_m) if two_m else 0.0
-        if best_q is not None and q <= best_q + 1e-12:
-            idle += 1
-            state = best_state
-            if q < best_q - 1e-12 or idle >= 2:
-                break
+        now = options.filter(here).select("id", F.col("w").alias("w_now"), F.col("mass").alias("mass_now"), "k", "loop")
+        if best_q is None:
+            sums = now.agg(F.sum(F.col("w_now") + F.col("loop")).alias("inner"), F.sum(F.col("k") * F.col("mass_now")).alias("square")).first()
+            best_q = (sums["inner"] or 0.0) / two_m - (sums["square"] or 0.0) / (two_m * two_m) if two_m else 0.0
+            best_state, best_now = state, now
         else:
-            rise = None if best_q is None else q - best_q
-            idle = idle + 1 if rise is not None and rise < min_gain else 0
-            best_state, best_q = state, q
-            if idle >= 2:
-                break
+            before = best_now.select("id", F.col("w_now").alias("w_was"), F.col("mass_now").alias("mass_was"))
+            pulled, pushed = F.col("w_now") - F.col("w_was"), F.col("k") * (F.col("mass_now") - F.col("mass_was")) / two_m
+            sums = now.join(before, "id").agg(F.sum(pulled - pushed).alias("rise"), F.sum(F.abs(pulled) + F.abs(pushed)).alias("size")).first()
+            rise = sums["rise"] or 0.0
+            if rise <= 1e-12 * (sums["size"] or 0.0):
+                idle += 1
+                state = best_state
+                if rise < 0 or idle >= 2:
+                    break
+            else:
+                idle = idle + 1 if rise / two_m < min_gain and moved < min_gain else 0
+                best_q += rise / two_m
+                best_state, best_now = state, now
+                if idle >= 2:
+                    break
         if i == iterations:
             break
         others = F.when(here, F.col("mass") - F.col("k")).otherwise(F.col("mass"))
-        gain = F.round(F.col("w") * 2.0 / two_m - 2.0 * F.col("k") * others / (two_m * two_m), 15)
+        gain = F.col("w") * two_m - F.col("k") * others
         turn = F.pmod(F.col("id"), F.lit(2)) == (i % 2)
         chosen = options.withColumn("gain", gain).groupBy("id").agg(
             F.min(F.struct((-F.col("gain")).alias("g"), F.col("comm"))).alias("best"),
             F.max(F.when(here, F.col("gain"))).alias("stay"), F.first("own").alias("own"),
             F.first("k").alias("k"), F.first("loop").alias("loop"))
         better = turn & (-F.col("best.g") > F.col("stay"))
-        state = chosen.select("id", F.when(better, F.col("best.comm")).otherwise(F.col("own")).alias("comm"), "k", "loop")
+        choice = cut(chosen.select("id", F.when(better, F.col("best.comm")).otherwise(F.col("own")).alias("comm"), "own", "k", "loop"))
+        moved = choice.agg(F.avg((F.col("comm") != F.col("own")).cast("double"))).first()[0] or 0.0
+        state = choice.drop("own")
     return cut(best_state.select("id", "comm")), best_q or 0.0
 
 

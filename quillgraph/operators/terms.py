@@ -9,6 +9,7 @@ from quillgraph.functions.text import is_stop_word, token_rows
 from quillgraph.operators.graph import Graph
 from quillgraph.operators.paths import betweenness_weighted
 from quillgraph.operators.ranking import top_per_group
+from quillgraph.session import cut
 
 
 def term_counts(tokens: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -181,7 +182,7 @@ def extract_keywords(docs: DataFrame, least: int = 2, most: int = 5, keep: int =
 
 # ---------------------------------------------------------------- language
 
-PROFILE_SIZE = 300
+FIT_PARTS, HELD_OUT_PART = 4, 2
 
 
 def _trigrams(docs: DataFrame, *keys: str) -> DataFrame:
@@ -193,26 +194,34 @@ def _trigrams(docs: DataFrame, *keys: str) -> DataFrame:
     return chars.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("c"))
 
 
-def language_profiles(labelled: DataFrame) -> DataFrame:
-    """language, gram, gain, base: log smoothed frequency of the most frequent trigrams, relative to an unseen one."""
-    best = top_per_group(_trigrams(labelled, "language"), ["language"], [F.desc("c"), F.col("gram")], PROFILE_SIZE)
-    total = best.groupBy("language").agg((F.sum("c") + PROFILE_SIZE).alias("t"))
-    return best.join(total, "language").select(
-        "language", "gram", F.ln((F.col("c") + 1).cast("double")).alias("gain"), (-F.ln(F.col("t").cast("double"))).alias("base"))
+def trigrams(docs: DataFrame) -> DataFrame:
+    """id, language, gram, c: stored once, for profiles and for detection."""
+    return cut(_trigrams(docs, "id", "language"))
 
 
-def detect_language(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+def language_profiles(grams: DataFrame, parts: int = FIT_PARTS, held_out: int = HELD_OUT_PART) -> DataFrame:
+    """language, gram, gain, base: log smoothed frequency of every trigram of the labelled texts, relative to an unseen one.
+
+    Texts with id % parts = held_out are not learned from.
+    """
+    fit = grams.filter(F.col("language").isNotNull() & (F.pmod("id", F.lit(parts)) != held_out))
+    counts = fit.groupBy("language", "gram").agg(F.sum("c").alias("c"))
+    total = counts.groupBy("language").agg((F.sum("c") + F.count("*")).alias("t"))
+    return cut(counts.join(total, "language").select(
+        "language", "gram", F.ln((F.col("c") + 1).cast("double")).alias("gain"), (-F.ln(F.col("t").cast("double"))).alias("base")))
+
+
+def detect_language(docs: DataFrame, grams: DataFrame, profiles: DataFrame) -> DataFrame:
     """id, detected: the language with the greatest log likelihood of the document's trigrams (ties: least name).
 
-    The profile table has at most 300 rows per language, so it is small enough to broadcast.
+    A text without trigrams (null, or under three characters) has a null label. A text's own sums are combined per language
+    before they meet, and compared inside one row that has an entry per language.
     """
-    grams = _trigrams(docs, "id")
-    lengths = grams.groupBy("id").agg(F.sum("c").alias("n"))
-    hits = grams.join(F.broadcast(profiles), "gram").groupBy("id", "language").agg(F.sum(F.col("c") * F.col("gain")).alias("s"))
-    bases = profiles.groupBy("language").agg(F.first("base").alias("base"))
-    options = bases.agg(F.collect_list(F.struct("language", "base")).alias("o")).scalar()  # one entry per language
-    every = lengths.select("id", "n", F.explode(options).alias("o")).select("id", "n", "o.language", "o.base")
-    score = F.coalesce("s", F.lit(0.0)) + F.col("n") * F.col("base")
-    scored = every.join(hits, ["id", "language"], "left").select("id", "language", score.alias("score"))
-    return scored.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("language"))).alias("b")).select(
-        "id", F.col("b.language").alias("detected"))
+    hits = grams.join(profiles.select("language", "gram", "gain").withColumnRenamed("language", "guess"), "gram").groupBy("id", "guess").agg(
+        F.sum(F.col("c") * F.col("gain")).alias("s"))
+    sums = hits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("guess", "s"))).alias("sums"))  # one entry per language
+    lengths = docs.select("id", (F.size(F.split(F.lower("text"), "")) - 2).alias("n")).filter("n > 0")
+    options = profiles.groupBy("language").agg(F.first("base").alias("base")).agg(F.collect_list(F.struct("language", "base")).alias("o")).scalar()
+    scored = lengths.join(sums, "id", "left").withColumn("options", options).select("id", F.array_min(F.transform("options", lambda o: F.struct(
+        (-(F.coalesce(F.try_element_at(F.col("sums"), o["language"]), F.lit(0.0)) + F.col("n") * o["base"])).alias("s"), o["language"].alias("language")))).alias("b"))
+    return docs.select("id").join(scored.select("id", F.col("b.language").alias("detected")), "id", "left")

@@ -85,8 +85,7 @@ def _(spark, d):
 WITH {_TOK}, v AS (SELECT w FROM tok GROUP BY w HAVING count(DISTINCT id) >= 10)
 SELECT id, w AS word, count(*)::DOUBLE AS value FROM tok SEMI JOIN v USING (w) GROUP BY ALL""")
 def _(spark, d):
-    model, counted = to.count_vectorize(english_tokens(spark, d), 10)
-    return to.weights(counted, "tf", to.vocabulary_frame(counted, model))
+    return to.count_terms(te.term_counts(english_tokens(spark, d)), 10)
 
 
 @query("inverse_document_frequency", "TX6 F5", f"""
@@ -95,8 +94,8 @@ n AS (SELECT count(*) AS n FROM docs WHERE language = 'en')
 SELECT id, w AS word, round(count(*) * ln((n + 1) / (df + 1)), 6) AS value FROM tok JOIN v USING (w), n
 GROUP BY id, w, n, df HAVING round(count(*) * ln((n + 1) / (df + 1)), 6) > 0""")
 def _(spark, d):
-    model, counted = to.count_vectorize(english_tokens(spark, d), 10)
-    return to.weights(to.idf(counted), "tfidf", to.vocabulary_frame(counted, model)).withColumn("value", r6("value"))
+    tokens = english_tokens(spark, d)
+    return to.idf_terms(te.term_counts(tokens), tokens, 10).withColumn("value", r6("value")).filter("value > 0")
 
 
 def _lda(spark, d, k):
@@ -105,22 +104,41 @@ def _lda(spark, d, k):
     return fitted, topics, to.vocabulary_frame(counted, model)
 
 
+TOPICS = 500
+WIDTH = 100
+
+
 @query("topic_keywords", "TX7 TX8")
 def _(spark, d):
-    fitted, _, vocabulary = _lda(spark, d, 10)
+    fitted, _, vocabulary = _lda(spark, d, TOPICS)
     return to.describe_topics(fitted, vocabulary).select("topic", F.array_join("keywords", " ").alias("keywords"))
 
 
 @query("document_topics", "TX7 TX9 F12 F14 W2 S4")
 def _(spark, d):
-    _, topics, _ = _lda(spark, d, 10)
-    return to.top_topics(topics).select("id", F.col("topics")[0]["topic"].alias("topic"), F.size("topics").alias("kept"))
+    _, topics, _ = _lda(spark, d, TOPICS)
+    return to.top_topics(topics).select("id", F.explode("topics").alias("t")).select("id", "t.topic", "t.weight")
+
+
+@query("document_topic_shares", "TX7 TX9", f"""
+WITH {_TOK}, v AS (SELECT w FROM tok GROUP BY w HAVING count(DISTINCT id) >= 10), fed AS (SELECT DISTINCT id FROM tok SEMI JOIN v USING (w))
+SELECT docs.id, {TOPICS} AS topics, CASE WHEN fed.id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS total, 3 AS kept
+FROM docs LEFT JOIN fed ON fed.id = docs.id WHERE language = 'en'""")
+def _(spark, d):
+    _, topics, _ = _lda(spark, d, TOPICS)
+    share = vector_to_array("topicDistribution")
+    whole = topics.select("id", F.size(share).alias("topics"), F.round(F.aggregate(share, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return whole.join(to.top_topics(topics).select("id", F.size("topics").alias("kept")), "id")
 
 
 @query("document_vectors", "TX17")
 def _(spark, d):
-    vectors = to.document_vectors(english_tokens(spark, d), 20)
-    return vectors.select("id", F.size("embedding").alias("size"))
+    return to.document_vectors(english_tokens(spark, d), WIDTH).select("id", F.posexplode("embedding").alias("dim", "value"))
+
+
+@query("document_vector_widths", "TX17", f"SELECT id, {WIDTH} AS width FROM docs WHERE language = 'en'")
+def _(spark, d):
+    return to.document_vectors(english_tokens(spark, d), WIDTH).select("id", F.size("embedding").alias("width"))
 
 
 # ---------------------------------------------------------------- word graphs
@@ -331,8 +349,8 @@ def _(spark, d):
 _LANGUAGE = """WITH g AS MATERIALIZED (SELECT id, language, gram, count(*) AS c FROM (SELECT id, language, i, x || lead(x, 1) OVER l || lead(x, 2) OVER l AS gram FROM
   (SELECT id, language, unnest(range(len(cs))) AS i, unnest(cs) AS x FROM (SELECT id, language, string_split(lower(text), '') AS cs FROM docs))
   WINDOW l AS (PARTITION BY id ORDER BY i)) WHERE gram IS NOT NULL GROUP BY ALL),
-b AS MATERIALIZED (SELECT * FROM (SELECT language, gram, sum(c) AS c, row_number() OVER (PARTITION BY language ORDER BY sum(c) DESC, gram) AS rk FROM g GROUP BY language, gram) WHERE rk <= 300),
-t AS (SELECT language, sum(c) + 300 AS t FROM b GROUP BY language),
+b AS MATERIALIZED (SELECT language, gram, sum(c) AS c FROM g WHERE language IS NOT NULL AND id % 4 <> 2 GROUP BY language, gram),
+t AS (SELECT language, sum(c) + count(*) AS t FROM b GROUP BY language),
 h AS (SELECT g.id, b.language, sum(g.c * ln((b.c + 1)::DOUBLE)) AS s FROM g JOIN b ON g.gram = b.gram GROUP BY ALL),
 sc AS (SELECT n.id, t.language, coalesce(h.s, 0) - n.n * ln(t.t::DOUBLE) AS score FROM (SELECT id, sum(c) AS n FROM g GROUP BY id) n CROSS JOIN t
   LEFT JOIN h ON h.id = n.id AND h.language = t.language),
@@ -340,14 +358,17 @@ det AS (SELECT id, language AS detected FROM (SELECT *, row_number() OVER (PARTI
 """
 
 
-@query("detect_language", "TX16", _LANGUAGE + "SELECT id, detected FROM det")
-def _(spark, d):
+def _detected(spark, d):
     docs = spread(t.docs(spark, d).select("id", "language", "text"), "id")
-    return te.detect_language(docs, te.language_profiles(docs))
+    grams = te.trigrams(docs)
+    return te.detect_language(docs, grams, te.language_profiles(grams))
 
 
-@query("documents_per_detected_language", "TX16 A2 S2", _LANGUAGE + "SELECT detected, count(*) AS documents FROM det GROUP BY detected ORDER BY documents DESC, detected")
+@query("detect_language", "TX16", _LANGUAGE + "SELECT d.id, detected FROM docs d LEFT JOIN det ON det.id = d.id")
 def _(spark, d):
-    docs = spread(t.docs(spark, d).select("id", "language", "text"), "id")
-    found = te.detect_language(docs, te.language_profiles(docs))
-    return found.groupBy("detected").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "detected")
+    return _detected(spark, d)
+
+
+@query("documents_per_detected_language", "TX16 A2 S2", _LANGUAGE + "SELECT detected, count(*) AS documents FROM docs d LEFT JOIN det ON det.id = d.id GROUP BY detected ORDER BY documents DESC, detected")
+def _(spark, d):
+    return _detected(spark, d).groupBy("detected").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "detected")

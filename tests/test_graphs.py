@@ -188,6 +188,16 @@ def test_modularity_communities(make, method):
     assert q == pytest.approx(2 * (3 / 7 - (7 / 14) ** 2))
 
 
+@pytest.mark.parametrize("far", [None, 1e13, 1e16])
+def test_a_heavy_edge_elsewhere_changes_nothing(make, far):
+    edges = [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)] + ([(7, 8, far)] if far else [])
+    for method in (cm.louvain, cm.leiden, cm.modularity_optimization):
+        groups = {}
+        for r in method(make(edges))[0].collect():
+            groups.setdefault(r["community"], set()).add(r["id"])
+        assert {frozenset(v) for v in groups.values()} == {frozenset({1, 2, 3}), frozenset({4, 5, 6})} | ({frozenset({7, 8})} if far else set())
+
+
 def test_louvain_beats_single_level(make):
     edges = random_edges(60, 90, 8)
     g = make(edges)
