@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.vectors import cosine
 from quillgraph.operators.explore import with_ends
 from quillgraph.operators.graph import NATURAL, Graph
-from quillgraph.operators.ranking import sample_per_group
+from quillgraph.operators.ranking import range_buckets, sample_key, sample_per_group
 from quillgraph.session import cut
 
 # A digest gives eight 16-bit draws: below the first bound +sqrt(3), below the second -sqrt(3), else 0.
@@ -25,11 +26,9 @@ PLUS_BELOW, MINUS_BELOW = 10923, 21845
 def random_rows(df: DataFrame, key: str, dim: int, seed: int) -> DataFrame:
     """key, vector: very sparse random projection row of each key, the same on every run."""
     blocks = math.ceil(dim / DRAWS_PER_DIGEST)
-    entries = f"""flatten(transform(sequence(0, {blocks - 1}), b ->
-      transform(sequence(0, {DRAWS_PER_DIGEST - 1}), j ->
-        CASE WHEN conv(substr(md5(concat({key}, '-', b, '-', {seed})), 4 * j + 1, 4), 16, 10) < {PLUS_BELOW} THEN sqrt(3D)
-             WHEN conv(substr(md5(concat({key}, '-', b, '-', {seed})), 4 * j + 1, 4), 16, 10) < {MINUS_BELOW} THEN -sqrt(3D)
-             ELSE 0D END)))"""
+    digests = f"transform(sequence(0, {blocks - 1}), b -> md5(concat({key}, '-', b, '-', {seed})))"
+    draws = f"flatten(transform({digests}, h -> transform(sequence(0, {DRAWS_PER_DIGEST - 1}), j -> conv(substr(h, 4 * j + 1, 4), 16, 10))))"
+    entries = f"transform({draws}, x -> CASE WHEN x < {PLUS_BELOW} THEN sqrt(3D) WHEN x < {MINUS_BELOW} THEN -sqrt(3D) ELSE 0D END)"
     return df.select(key, array_to_vector(F.slice(F.expr(entries), 1, dim)).alias("vector"))
 
 
@@ -80,10 +79,44 @@ def project_features(features: DataFrame, dim: int, seed: int) -> DataFrame:
 
 
 def kmeans(vectors: DataFrame, k: int = 120, seed: int = 0, iterations: int = 20, column: str = "embedding") -> DataFrame:
-    """id, cluster."""
-    data = vectors.select("id", array_to_vector(F.transform(column, lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=iterations).fit(data)
-    return model.transform(data).select("id", F.col("prediction").alias("cluster"))
+    """id, cluster: Lloyd rounds from the k rows of the least draw (`sample_key`); ties go to the first centre.
+
+    Only the k centres are on the driver and in the tasks. A task adds up its rows by cluster before the shuffle, so a cluster
+    holding most rows is k small sums per batch. Distances are compared to 9 digits, so that the order of additions
+    doesn't decide. An empty cluster keeps its centre.
+    """
+    data = cut(vectors.select("id", F.transform(column, lambda x: x.cast("double")).alias("x")))
+    first = data.orderBy(sample_key("id", seed), "id").limit(k).collect()
+    centres = np.array([r["x"] for r in first], float)
+    for _ in range(iterations if first else 0):
+        sums = data.select("x").mapInArrow(_nearest(centres, True), "cluster int, n bigint, total array<double>")
+        moved = sums.groupBy("cluster").agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("total")).alias("total")).collect()
+        before = centres.copy()
+        for r in moved:
+            centres[r["cluster"]] = r["total"].toArray() / r["n"]
+        if np.array_equal(before, centres):
+            break
+    return data.mapInArrow(_nearest(centres, False), data.select("id", F.lit(0).alias("cluster")).schema)
+
+
+def _nearest(centres: np.ndarray, total: bool):
+    """Batch function: the cluster of each row, or the sum of the rows of each cluster."""
+    squares = (centres * centres).sum(axis=1)
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            cluster = np.round(squares - 2 * x @ centres.T, 9).argmin(axis=1).astype(np.int32) if batch.num_rows else np.zeros(0, np.int32)
+            if not total:
+                yield pa.record_batch([batch.column("id"), pa.array(cluster)], names=["id", "cluster"])
+            elif batch.num_rows:
+                order = np.argsort(cluster, kind="stable")
+                found, first = np.unique(cluster[order], return_index=True)
+                sums = np.add.reduceat(x[order], first, axis=0)
+                n = np.diff(np.append(first, len(order)))
+                yield pa.record_batch([pa.array(found), pa.array(n.astype(np.int64)), pa.array(list(sums), pa.list_(pa.float64()))], names=["cluster", "n", "total"])
+
+    return run
 
 
 def combine_vectors(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -134,6 +167,47 @@ def category_similarity(vectors: DataFrame, sample: int | None = None, seed: int
     return sized.filter(pairs > 0).select("category_a", "category_b", (total / pairs).alias("similarity"), pairs.alias("pairs"))
 
 
+def directed_category_similarity(vectors: DataFrame, rows_per_bucket: int = 500) -> DataFrame:
+    """category_a, category_b, similarity, pairs: mean cosine over row pairs a < b (by id), a of the first and b of the second category.
+
+    Rows are cut into buckets by id. Two buckets part at the highest bit in which their numbers differ, so for each bit
+    the sums of unit vectors of the lower halves meet those of the upper halves. Only pairs inside a bucket are formed, so
+    work is linear in the rows.
+    """
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = F.transform("embedding", lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+    rows = cut(range_buckets(vectors.select("id", "category", unit.alias("u")), "id", "bucket", rows_per_bucket))
+    cells = cut(rows.select("bucket", "category", F.posexplode("u").alias("pos", "x")).groupBy("bucket", "category", "pos").agg(F.sum("x").alias("s")))
+    sizes = rows.groupBy("bucket", "category").agg(F.count("*").alias("n"))
+    bits = max(1, (rows.agg(F.max("bucket")).first()[0] or 0).bit_length())
+
+    def halves(parts: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+        """Sums of the lower and of the upper half below every node of the binary tree over the buckets."""
+        up = parts.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).groupBy(
+            "bit", F.expr("shiftright(bucket, bit + 1)").alias("node"), F.expr("shiftright(bucket, bit) % 2").alias("side"), *keys).agg(F.sum(value).alias(value))
+        up = cut(up)
+        return tuple(up.filter(F.col("side") == i).drop("side").withColumnsRenamed({"category": f"category_{c}", value: f"{value}{c}"}) for i, c in ((0, "a"), (1, "b")))
+
+    lower, upper = halves(cells, ["category", "pos"], "s")
+    across = lower.join(upper, ["bit", "node", "pos"]).groupBy("category_a", "category_b").agg(F.sum(F.col("sa") * F.col("sb")).alias("total"))
+    lower, upper = halves(sizes, ["category"], "n")
+    counts = lower.join(upper, ["bit", "node"]).groupBy("category_a", "category_b").agg(F.sum(F.col("na") * F.col("nb")).alias("pairs"))
+    left = rows.select("bucket", F.col("id").alias("a"), F.col("category").alias("category_a"), F.col("u").alias("ua"))
+    right = rows.select("bucket", F.col("id").alias("b"), F.col("category").alias("category_b"), F.col("u").alias("ub"))
+    dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    inside = left.join(right, "bucket").filter("a < b").groupBy("category_a", "category_b").agg(F.sum(dot).alias("total"), F.count("*").alias("pairs"))
+    every = across.join(counts, ["category_a", "category_b"]).unionByName(inside).groupBy("category_a", "category_b").agg(
+        F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+    return every.filter("pairs > 0").select("category_a", "category_b", (F.col("total") / F.col("pairs")).alias("similarity"), "pairs")
+
+
+def directed_category_difference(similarity: DataFrame) -> DataFrame:
+    """category_a, category_b, difference as in `category_difference`, with every ordered pair of categories counted by itself."""
+    sums = similarity.withColumn("total", F.col("similarity") * F.col("pairs"))
+    own = sums.filter("category_a = category_b").agg(F.sum("total") / F.sum("pairs")).scalar()
+    return sums.select("category_a", "category_b", F.try_divide(F.col("total") - 2 * own, F.col("pairs") - 1).alias("difference"))
+
+
 def category_difference(similarity: DataFrame) -> DataFrame:
     """category_a, category_b, difference = (sum of similarities - 2 * mean own similarity) / (pairs - 1).
 

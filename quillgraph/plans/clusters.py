@@ -14,7 +14,7 @@ from quillgraph.plans.explore import citation_graph, r6
 from quillgraph.plans.registry import query
 from quillgraph.sources import tables as t
 
-ROUNDS = 20
+ROUNDS = 100
 
 
 def flow(spark, d):
@@ -376,9 +376,9 @@ m{i} AS MATERIALIZED (SELECT id, label, sum(c)::BIGINT AS c FROM (SELECT * FROM
 SELECT id, label, round(share, 6) AS share FROM (SELECT id, label, c / sum(c) OVER (PARTITION BY id) AS share FROM m{rounds}) WHERE share >= 0.2"""
 
 
-@query("speaker_listener", "C5", _slpa_sql(10))
+@query("speaker_listener", "C5", _slpa_sql(ROUNDS))
 def _(spark, d):
-    return cm.speaker_listener(citation_graph(spark, d), iterations=10).withColumn("share", r6("share"))
+    return cm.speaker_listener(citation_graph(spark, d), iterations=ROUNDS).withColumn("share", r6("share"))
 
 
 @query("louvain", "C2")
@@ -408,20 +408,25 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- embeddings
 
-_DIM = 16
+_DIM = 256
 _DRAW = """CASE WHEN ('0x' || substr(md5(concat({key}, '-', j // 8, '-', {seed})), 1 + 4 * (j % 8), 4))::INT < 10923 THEN sqrt(3)
   WHEN ('0x' || substr(md5(concat({key}, '-', j // 8, '-', {seed})), 1 + 4 * (j % 8), 4))::INT < 21845 THEN -sqrt(3) ELSE 0 END"""
 
 
-def _rp_sql(weight: str) -> str:
-    return f"""WITH n AS MATERIALIZED (SELECT id FROM articles), e AS MATERIALIZED (SELECT src, dst, {weight} AS w FROM cites),
+def _rp_steps(nodes: str, edges: str) -> str:
+    return f"""n AS MATERIALIZED ({nodes}), e AS MATERIALIZED ({edges}),
 r AS MATERIALIZED (SELECT id, j, {_DRAW.format(key='id', seed=0)} AS v FROM n, (SELECT unnest(range({_DIM})) AS j)),
 a1 AS MATERIALIZED (SELECT e.src AS id, r.j, sum(r.v * w) / sum(w) AS v FROM e JOIN r ON e.dst = r.id GROUP BY ALL),
 p1 AS MATERIALIZED (SELECT id, j, coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY id)), 0), 0) AS v FROM a1),
 a2 AS MATERIALIZED (SELECT e.src AS id, r.j, sum(r.v * w) / sum(w) AS v FROM e JOIN p1 r ON e.dst = r.id GROUP BY ALL),
-p2 AS MATERIALIZED (SELECT id, j, coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY id)), 0), 0) AS v FROM a2)
-SELECT n.id, d.j AS dim, round(coalesce(p1.v, 0) + coalesce(p2.v, 0), 5) AS value FROM n CROSS JOIN (SELECT unnest(range({_DIM}))::INT AS j) d
-LEFT JOIN p1 ON p1.id = n.id AND p1.j = d.j LEFT JOIN p2 ON p2.id = n.id AND p2.j = d.j"""
+p2 AS MATERIALIZED (SELECT id, j, coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY id)), 0), 0) AS v FROM a2),
+z AS MATERIALIZED (SELECT n.id, d.j AS dim, coalesce(p1.v, 0) + coalesce(p2.v, 0) AS value FROM n CROSS JOIN (SELECT unnest(range({_DIM}))::INT AS j) d
+  LEFT JOIN p1 ON p1.id = n.id AND p1.j = d.j LEFT JOIN p2 ON p2.id = n.id AND p2.j = d.j)"""
+
+
+def _rp_sql(weight: str) -> str:
+    steps = _rp_steps("SELECT id FROM articles", f"SELECT src, dst, {weight} AS w FROM cites")
+    return f"WITH {steps} SELECT id, dim, round(value, 5) AS value FROM z"
 
 
 def _cells(df):
@@ -438,38 +443,67 @@ def _(spark, d):
     return _cells(em.fast_rp(citation_graph(spark, d, "weight"), _DIM, weighted=True))
 
 
-@query("fast_rp_with_features", "C7", f"""
-WITH u AS MATERIALIZED (SELECT id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS x FROM vectors),
-r AS MATERIALIZED (SELECT pos, j, {_DRAW.format(key='pos', seed=1)} AS v FROM (SELECT unnest(range(64)) AS pos), (SELECT unnest(range(8)) AS j))
-SELECT u.id, r.j::INT AS dim, round(sum(u.x * r.v), 5) AS value FROM u JOIN r ON u.pos = r.pos GROUP BY u.id, r.j""")
+_FEATURES = 64
+_RP_FEATURES = _rp_steps("SELECT id FROM vectors", "SELECT src, dst, 1 AS w FROM vector_edges") + f""",
+u AS MATERIALIZED (SELECT id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS x FROM vectors),
+rf AS MATERIALIZED (SELECT pos, j, {_DRAW.format(key='pos', seed=1)} AS v FROM (SELECT unnest(range(64)) AS pos), (SELECT unnest(range({_FEATURES})) AS j)),
+zf AS MATERIALIZED (SELECT id, dim, value FROM z UNION ALL SELECT u.id, {_DIM} + rf.j::INT, sum(u.x * rf.v) FROM u JOIN rf ON u.pos = rf.pos GROUP BY u.id, rf.j)"""
+
+
+def _vector_graph(spark, d):
+    return Graph.of(t.vectors(spark, d).select("id"), t.vector_edges(spark, d).withColumn("weight", F.lit(1.0)))
+
+
+@query("fast_rp_with_features", "C7", f"WITH {_RP_FEATURES} SELECT id, dim, round(value, 5) AS value FROM zf")
 def _(spark, d):
-    block = em.project_features(t.vectors(spark, d), 8, 1)
-    return _cells(block.withColumnRenamed("projected", "embedding"))
+    return _cells(em.fast_rp(_vector_graph(spark, d), _DIM, features=t.vectors(spark, d), feature_dim=_FEATURES))
+
+
+K, LLOYD, RUNS = 120, 20, 10
+
 
+def _kmeans_steps(rows: str, seed: int, name: str = "") -> str:
+    """Lloyd rounds over `rows` (id, x DOUBLE[]), unrolled; the last step is `a{name}` (id, cluster)."""
+    draw = f"((id % 2147483647) * 1103515245 + {seed + 1} * 12345) % 2147483647"
+    steps = [f"x{name} AS MATERIALIZED ({rows})",
+             f"c{name}_0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY {draw}, id) - 1)::INT AS cluster, x AS v FROM x{name} ORDER BY 1 LIMIT {K})"]
+    near = """SELECT id, cluster FROM (SELECT x.id, c.cluster, row_number() OVER (PARTITION BY x.id
+  ORDER BY round(list_dot_product(c.v, c.v) - 2 * list_dot_product(x.x, c.v), 9), c.cluster) AS rk FROM {x} x CROSS JOIN {c} c) WHERE rk = 1"""
+    for i in range(LLOYD):
+        c = f"c{name}_{i}"
+        steps.append(f"a{name}_{i} AS MATERIALIZED ({near.format(x=f'x{name}', c=c)})")
+        steps.append(f"""c{name}_{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM {c} c LEFT JOIN (SELECT cluster, list(s ORDER BY pos) AS v
+  FROM (SELECT a.cluster, u.pos, avg(u.s) AS s FROM a{name}_{i} a JOIN (SELECT id, unnest(range(len(x))) AS pos, unnest(x) AS s FROM x{name}) u ON a.id = u.id
+  GROUP BY a.cluster, u.pos) GROUP BY cluster) m ON m.cluster = c.cluster)""")
+    steps.append(f"a{name} AS MATERIALIZED ({near.format(x=f'x{name}', c=f'c{name}_{LLOYD}')})")
+    return ",\n".join(steps)
 
-@query("kmeans_text_vectors", "C6")
+
+_VECTORS = "SELECT id, embedding::DOUBLE[] AS x FROM vectors"
+
+
+@query("kmeans_text_vectors", "C6", f"WITH {_kmeans_steps(_VECTORS, 1)} SELECT id, cluster FROM a")
 def _(spark, d):
-    return em.kmeans(t.vectors(spark, d), k=20, seed=1)
+    return em.kmeans(t.vectors(spark, d), K, 1, LLOYD)
 
 
-@query("kmeans_runs", "C6 C9 U2")
+@query("kmeans_runs", "C6 C9 U2", "WITH " + ",\n".join(_kmeans_steps(_VECTORS, r, f"r{r}") for r in range(RUNS)) + "\n"
+       + " UNION ALL ".join(f"SELECT id, cluster, {r} AS run FROM ar{r}" for r in range(RUNS)))
 def _(spark, d):
     rows = t.vectors(spark, d)
-    return cm.run_repeats(lambda r: em.kmeans(rows, 10, r), 3)
+    return cm.run_repeats(lambda r: em.kmeans(rows, K, r, LLOYD), RUNS)
 
 
 @query("kmeans_node_embedding", "C6 C7 C8")
 def _(spark, d):
     a = t.articles(spark, d)
-    found = em.kmeans(em.fast_rp(citation_graph(spark, d), 64), k=25, seed=1)
+    found = em.kmeans(em.fast_rp(citation_graph(spark, d), _DIM), K, 1, LLOYD)
     return cm.majority_label(found.join(a.select("id", "known_category"), "id")).select("id", "cluster", "consensus")
 
 
 @query("kmeans_text_and_node_embedding", "C6 C7")
 def _(spark, d):
-    vectors, edges = t.vectors(spark, d), t.vector_edges(spark, d).withColumn("weight", F.lit(1.0))
-    nodes = em.fast_rp(Graph.of(vectors.select("id"), edges), 32)
-    return em.kmeans(em.combine_vectors(nodes, vectors), k=10, seed=1)
+    return em.kmeans(em.combine_vectors(em.fast_rp(_vector_graph(spark, d), _DIM), t.vectors(spark, d)), K, 1, LLOYD)
 
 
 _COS = "coalesce(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 0), 0)"
@@ -507,6 +541,22 @@ def _(spark, d):
     return em.category_difference(em.category_similarity(t.vectors(spark, d))).withColumn("difference", r6("difference"))
 
 
+_DIRECTED = f"""p AS MATERIALIZED (SELECT a.category AS category_a, b.category AS category_b, {_COS} AS c FROM vectors a JOIN vectors b ON a.id < b.id),
+s AS (SELECT category_a, category_b, avg(c) AS similarity, count(*) AS n FROM p GROUP BY ALL)"""
+
+
+@query("category_similarity_directed", "CM19 U4", f"WITH {_DIRECTED} SELECT category_a, category_b, round(similarity, 6) AS similarity, n AS pairs FROM s")
+def _(spark, d):
+    return em.directed_category_similarity(t.vectors(spark, d), 100).withColumn("similarity", r6("similarity"))
+
+
+@query("category_difference_directed", "CM20", f"""WITH {_DIRECTED}, o AS (SELECT avg(c) AS own FROM p WHERE category_a = category_b)
+SELECT category_a, category_b, round((similarity * n - 2 * own) / nullif(n - 1, 0), 6) AS difference FROM s, o""")
+def _(spark, d):
+    found = em.directed_category_similarity(t.vectors(spark, d))
+    return em.directed_category_difference(found).withColumn("difference", r6("difference"))
+
+
 @query("category_mean_difference", "CM20", f"""WITH {_PAIRS.format(v='vectors')}
 SELECT o.category_a AS category, round((x.m - o.similarity) / x.k, 6) AS mean_difference FROM s o JOIN
  (SELECT category_a, avg(similarity) AS m, count(*) AS k FROM s WHERE category_a <> category_b GROUP BY category_a) x USING (category_a)
