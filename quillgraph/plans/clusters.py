@@ -494,14 +494,23 @@ def _(spark, d):
     return cm.run_repeats(lambda r: em.kmeans(rows, K, r, LLOYD), RUNS)
 
 
-@query("kmeans_node_embedding", "C6 C7 C8")
+_NODE_VECTORS = "SELECT id, list(value ORDER BY dim) AS x FROM z GROUP BY id"
+
+
+@query("kmeans_node_embedding", "C6 C7 C8", f"""
+WITH {_rp_steps("SELECT id FROM articles", "SELECT src, dst, 1 AS w FROM cites")}, {_kmeans_steps(_NODE_VECTORS, 1)},
+k AS (SELECT a.cluster, r.known_category AS k, count(*) AS n FROM a JOIN articles r USING (id) WHERE r.known_category IS NOT NULL GROUP BY ALL),
+b AS (SELECT cluster, k FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, k) AS rk FROM k) WHERE rk = 1)
+SELECT a.id, a.cluster, coalesce(b.k, -1) AS consensus FROM a LEFT JOIN b ON a.cluster = b.cluster""")
 def _(spark, d):
     a = t.articles(spark, d)
     found = em.kmeans(em.fast_rp(citation_graph(spark, d), _DIM), K, 1, LLOYD)
     return cm.majority_label(found.join(a.select("id", "known_category"), "id")).select("id", "cluster", "consensus")
 
 
-@query("kmeans_text_and_node_embedding", "C6 C7")
+@query("kmeans_text_and_node_embedding", "C6 C7", f"""
+WITH {_rp_steps("SELECT id FROM vectors", "SELECT src, dst, 1 AS w FROM vector_edges")},
+{_kmeans_steps("SELECT n.id, list_concat(n.x, v.embedding::DOUBLE[]) AS x FROM (" + _NODE_VECTORS + ") n JOIN vectors v ON n.id = v.id", 1)} SELECT id, cluster FROM a""")
 def _(spark, d):
     return em.kmeans(em.combine_vectors(em.fast_rp(_vector_graph(spark, d), _DIM), t.vectors(spark, d)), K, 1, LLOYD)
 
