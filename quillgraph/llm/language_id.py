@@ -4,14 +4,14 @@ Texts are folded to letters (lower case; a run of anything else is one blank), a
 1 to ORDER that occur in both, whatever their frequency, divided by the root of k(x, x) k(y, y). An n-gram is a hash into
 2^GRAM_BITS places, so memory doesn't depend on script or vocabulary.
 
-`fit` takes a bounded sample: per language ROWS_PER_LANGUAGE labelled texts, least by a hash of the text, of which
+`fit` takes a bounded sample: per language ROWS_PER_LANGUAGE different labelled texts, least by a hash of the text, of which
 LANDMARKS_PER_LANGUAGE are landmarks. With K the kernel of sample and landmarks and M that of the landmarks, the Nystrom map
 is M^(-1/2); one-versus-rest ridge regression on K M^(-1/2) gives one weight vector per language. Only the n-gram
 sets of the sample come to the driver. Prediction uses every labelled language's output on the whole text: batches of presence
 rows times landmarks times weights.
 
-Sampling ranks inside each language and limits before the shuffle, so a hot language moves no more rows than another. Prediction is
-a map without a shuffle. The model is broadcast: one number per language and n-gram place, 2^GRAM_BITS places at most.
+Sampling thins the hashes by each language's measured number before it ranks them, so a hot language or a hot text moves no more
+rows than another. Prediction is a map without a shuffle. The model is broadcast: one number per language and n-gram place, 2^GRAM_BITS places at most.
 
 Defined cases: a null text or one without a letter is `und` with score 0; so is every text if nothing can be learned. Texts without
 a label, or without letters, aren't learned from. Ties between languages go to the first by name. Repeated rows get the same
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import free_name
+from quillgraph.llm.common import free_name, store
 
 UNKNOWN = "und"
 ORDER = 4
@@ -112,10 +112,19 @@ class Model:
 
 
 def sample(docs: DataFrame, text: str, lang: str, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """lang, rank, text: up to `rows` labelled texts of each language, by a hash of the text."""
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    return labelled.withColumn("rank", rank).filter(F.col("rank") <= rows)
+    """lang, rank, text: `rows` different labelled texts of each language (all if there are fewer), least by a hash.
+
+    Only hashes are compared, and only about three times `rows` of them reach the ranking, so neither a large language nor a
+    text with very many copies gathers in a task. Texts are fetched for the chosen hashes.
+    """
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    near = labelled.select("lang", "h").join(store(sizes, "languages"), "lang").filter(
+        F.pmod("h", F.lit(1 << 20)) * F.col("n") <= F.lit(3 * rows << 20)).select("lang", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h"))
+    chosen = store(near.withColumn("rank", rank).filter(F.col("rank") <= rows), "sample")
+    return labelled.join(chosen, ["lang", "h"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE,
