@@ -23,7 +23,7 @@ HEADLINE = (
     "accuracy_per_category confusion_matrix shared_ancestors pagerank eigenvector hits closeness "
     "betweenness_two_sources weak_components strong_components triangle_count label_propagation "
     "fast_rp edge_similarity category_similarity term_counts term_tfidf cooccurrence_by_year "
-    "distinctiveness prevalence extract_keywords detect_language"
+    "distinctiveness prevalence extract_keywords detect_language kmeans_text_vectors document_vectors topic_keywords"
 ).split()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.graph import Adjacency, Graph
-from quillgraph.session import cut
+from quillgraph.session import cut, forget
 
 PASSES_PER_CUT = 5
 
@@ -31,7 +31,7 @@ def _propagate(adjacency: Adjacency, state: DataFrame, value: str, to: str) -> D
 def _rank(graph: Graph, shares: DataFrame, damping: float, iterations: int, tolerance: float | None) -> DataFrame:
     base = 1.0 - damping
     adjacency = Adjacency(with_self(shares, graph.nodes, "share"), "src")
-    state = graph.nodes.select("id", F.lit(base).alias("score"))
+    kept = state = graph.nodes.select("id", F.lit(base).alias("score"))
     for i in range(1, iterations + 1):
         new = _propagate(adjacency, state, "score", "dst").select(
             "id", (F.lit(base) + F.lit(damping) * F.col("score")).alias("score"))
@@ -39,11 +39,16 @@ def _rank(graph: Graph, shares: DataFrame, damping: float, iterations: int, tole
             new = cut(new)
             gap = new.join(state.withColumnRenamed("score", "old"), "id").agg(
                 F.max(F.abs(F.col("score") - F.col("old"))).alias("gap")).first()["gap"]
+            forget(state)
             state = new
             if gap is None or gap < tolerance:
                 break
+        elif i % PASSES_PER_CUT == 0 and i < iterations:
+            state = cut(new)
+            forget(kept)
+            kept = state
         else:
-            state = cut(new) if i % PASSES_PER_CUT == 0 and i < iterations else new
+            state = new
     return state
 
 
@@ -53,6 +58,7 @@ def _out_totals(graph: Graph) -> DataFrame:
 
 def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None) -> DataFrame:
     """id, score; r = (1-d) + d * sum of r(u) * w / out-weight(u). The weight of a dangling node is dropped."""
+    graph = graph.stored()
     shares = graph.edges.join(_out_totals(graph), "src").select(
         "src", "dst", F.try_divide("weight", "total").alias("share"))
     return _rank(graph, shares.fillna(0.0, ["share"]), damping, iterations, tolerance)
@@ -60,6 +66,7 @@ def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 20, toleranc
 
 def articlerank(graph: Graph, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None) -> DataFrame:
     """As pagerank, but the divisor is the node's out-weight plus the mean out-weight."""
+    graph = graph.stored()
     n = graph.nodes.agg(F.count("*")).scalar()
     mean = graph.edges.agg(F.sum("weight")).scalar() / n
     shares = graph.edges.join(_out_totals(graph), "src").select(
@@ -78,6 +85,7 @@ def eigenvector(graph: Graph, iterations: int = 20) -> DataFrame:
 
     The step is linear, so scaling at the cuts gives the same direction as scaling every round.
     """
+    graph = graph.stored()
     shares = graph.edges.select("src", "dst", F.lit(1.0).alias("share"))
     adjacency = Adjacency(with_self(shares, graph.nodes, "share"), "src")
     n = graph.nodes.agg(F.count("*")).scalar()
@@ -91,6 +99,7 @@ def eigenvector(graph: Graph, iterations: int = 20) -> DataFrame:
 
 def hits(graph: Graph, iterations: int = 20) -> DataFrame:
     """id, authority, hub; each vector has Euclidean norm 1."""
+    graph = graph.stored()
     shares = with_self(graph.edges.select("src", "dst", F.lit(1.0).alias("share")), graph.nodes, "share")
     forward, backward = Adjacency(shares, "src"), Adjacency(shares, "dst")
     hub = graph.nodes.select("id", F.lit(1.0).alias("value"))

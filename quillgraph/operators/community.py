@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators.graph import NATURAL, UNDIRECTED, Adjacency, Graph
 from quillgraph.operators.ranking import SAMPLE_FACTOR, SAMPLE_MODULUS, SAMPLE_SHIFT
-from quillgraph.session import cut
+from quillgraph.session import cut, forget
 
 PASSES_PER_CUT = 5
 
@@ -29,11 +29,12 @@ def label_propagation(graph: Graph, seeds: DataFrame | None = None, iterations:
                       orientation: str = NATURAL) -> DataFrame:
     """id, label. All nodes adopt at once the label with the heaviest vote of the nodes they point to
     (ties: least label); a node without neighbours keeps its own. Stops when nothing changes."""
+    graph = graph.stored()
     own = graph.nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"),
                              F.lit(True).alias("own"))
     ballots = graph.oriented(orientation).select("src", "dst", "weight", F.lit(False).alias("own"))
     adjacency = Adjacency(ballots.unionByName(own), "dst")
-    state = cut(initial_labels(graph, seeds))
+    kept = state = cut(initial_labels(graph, seeds))
     for i in range(1, iterations + 1):
         votes = adjacency.attach(state.select("id", "label")).groupBy(F.col("src").alias("id"), "label").agg(
             F.sum("weight").alias("w"), F.max("own").alias("own"))
@@ -43,6 +44,8 @@ def label_propagation(graph: Graph, seeds: DataFrame | None = None, iterations:
         ).select("id", F.col("best.label").alias("label"), (F.col("best.label") != F.col("was")).alias("moved"))
         if i % PASSES_PER_CUT == 0 or i == iterations:
             state = cut(state)
+            forget(kept)
+            kept = state
             if state.filter("moved").isEmpty():
                 break
     return state.select("id", "label")
@@ -71,7 +74,9 @@ def speaker_listener(graph: Graph, iterations: int = 100, threshold: float = 0.2
         heard = adjacency.attach(spoken).groupBy(F.col("src").alias("id"), "label").agg(F.count("*").alias("n"))
         learnt = heard.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label"))).alias("best")).select(
             "id", F.col("best.label").alias("label"), F.lit(1).cast("long").alias("count"))
-        memory = cut(memory.unionByName(learnt).groupBy("id", "label").agg(F.sum("count").alias("count")))
+        grown = cut(memory.unionByName(learnt).groupBy("id", "label").agg(F.sum("count").alias("count")))
+        forget(memory)
+        memory = grown
     share = memory.select("id", "label", (F.col("count") / total).alias("share"))
     return share.filter(F.col("share") >= threshold)
 
@@ -188,6 +193,7 @@ def louvain(graph: Graph, iterations: int = 100, levels: int = 10, min_gain: flo
 
     With `refine` each community is re-split from single nodes before contraction (Leiden).
     """
+    graph = graph.stored()
     level = _Level.of(graph.nodes.select("id"), graph.edges.select("src", "dst", "weight"))
     member = cut(graph.nodes.select("id", F.col("id").alias("node")))
     start = level.strength.select("id", F.col("id").alias("comm"))

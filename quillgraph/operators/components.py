@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators.graph import NATURAL, REVERSE, UNDIRECTED, Adjacency, Graph, degrees, restrict_edges
-from quillgraph.session import cut
+from quillgraph.session import cut, forget
 
 
 def _spread_min(adjacency: Adjacency, state: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def weak_components(graph: Graph) -> DataFrame:
     state = cut(graph.nodes.select("id", F.col("id").alias("label")))
     while True:
         spread = cut(_spread_min(adjacency, state))
+        forget(state)
         roots = spread.select(F.col("label").alias("id")).distinct()
         jump = roots.join(spread.select("id", F.col("label").alias("next")), "id").filter("next < id").select(
             F.col("id").alias("label"), "next")
@@ -35,6 +36,7 @@ def weak_components(graph: Graph) -> DataFrame:
         if not moved:
             return spread.select("id", F.col("label").alias("component"))
         state = cut(spread.join(jump, "label", "left").select("id", F.coalesce("next", "label").alias("label")))
+        forget(spread)
 
 
 def strong_components(graph: Graph) -> DataFrame:
@@ -125,13 +127,26 @@ def local_clustering(graph: Graph) -> DataFrame:
         F.when(k >= 2, 2.0 * F.col("triangles") / (k * (k - 1))).otherwise(0.0).alias("coefficient"))
 
 
-def power_law_fit(distribution: DataFrame, tail: int = 50) -> DataFrame:
-    """alpha, xmin, ks, log_likelihood, lognormal_log_likelihood, ratio, mean, median from degree, nodes.
+# The coefficients of Abramowitz and Stegun 7.1.26 for the error function (error below 1.5e-7).
+ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def erfc(z: Column) -> Column:
+    """1 - erf(z) for z >= 0."""
+    t = 1.0 / (1.0 + ERF_P * z)
+    poly = F.lit(0.0)
+    for a in reversed(ERF_A):
+        poly = (poly + a) * t
+    return poly * F.exp(-z * z)
+
+
+def power_law_fit(distribution: DataFrame) -> DataFrame:
+    """alpha, xmin, ks, log_likelihood, lognormal_log_likelihood, ratio, p, mean, median from degree, nodes.
 
     Discrete maximum likelihood for every observed degree as lower bound, all at once: suffix sums over
     the histogram (one row per distinct degree, at most sqrt(2m) rows) give each candidate's alpha; the
-    bound with the least Kolmogorov-Smirnov distance wins.
-    `tail` is the least number of nodes a candidate's tail must hold.
+    bound with the least Kolmogorov-Smirnov distance wins. `p` tells whether the sign of the ratio of both likelihoods
+    is chance (Vuong's test). Mean and median are those of all positive degrees.
     """
     h = cut(distribution.filter("degree >= 1").select(F.col("degree").cast("double").alias("x"), F.col("nodes").cast("double").alias("c")))
     down = Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -140,8 +155,7 @@ def power_law_fit(distribution: DataFrame, tail: int = 50) -> DataFrame:
         F.sum(F.col("c") * F.ln("x")).over(down).alias("sl"))
     tails = cut(tails.withColumn("alpha", 1.0 + F.col("n") / (F.col("sl") - F.col("n") * F.ln(F.col("x") - 0.5))))
     last = tails.agg(F.max("r")).scalar()
-    fitted = tails.filter(F.col("n") >= tail).select(
-        F.col("x").alias("x0"), "n", "alpha", F.explode(F.sequence(F.col("r"), last)).alias("r"))
+    fitted = tails.select(F.col("x").alias("x0"), "n", "alpha", F.explode(F.sequence(F.col("r"), last)).alias("r"))
     grid = fitted.join(tails.select("r", "x", "c"), "r")
     upto = Window.partitionBy("x0").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = grid.withColumn("empirical", F.sum("c").over(upto) / F.col("n"))
@@ -149,13 +163,23 @@ def power_law_fit(distribution: DataFrame, tail: int = 50) -> DataFrame:
     best = seen.groupBy("x0", "n", "alpha").agg(F.max(F.abs(F.col("empirical") - model)).alias("ks")).orderBy("ks", "x0").limit(1)
     picked = cut(best)
     lx = F.ln("x")
-    used = h.filter(F.col("x") >= picked.select("x0").scalar()).agg(
-        F.sum(F.col("c") * lx).alias("sl"), F.sum(F.col("c") * lx * lx).alias("sl2"))
+    tail = h.filter(F.col("x") >= picked.select("x0").scalar())
+    used = tail.agg(F.sum(F.col("c") * lx).alias("sl"), F.sum(F.col("c") * lx * lx).alias("sl2"))
     moments = used.select("sl", "sl2", *[picked.select(a).scalar().alias(b) for a, b in (
-        ("x0", "xmin"), ("alpha", "alpha"), ("ks", "ks"), ("n", "n"))]).withColumn("mu", F.col("sl") / F.col("n"))
-    var = F.col("sl2") / F.col("n") - F.col("mu") * F.col("mu")
+        ("x0", "xmin"), ("alpha", "alpha"), ("ks", "ks"), ("n", "n"))]).withColumn("mu", F.col("sl") / F.col("n")).withColumn(
+        "var", F.col("sl2") / F.col("n") - F.col("mu") * F.col("mu"))
+    two_pi = 2 * F.lit(3.141592653589793)
     power = F.col("n") * F.ln((F.col("alpha") - 1) / (F.col("xmin") - 0.5)) - F.col("alpha") * (
         F.col("sl") - F.col("n") * F.ln(F.col("xmin") - 0.5))
-    normal = -F.col("sl") - F.col("n") / 2 * (F.ln(2 * F.lit(3.141592653589793) * var) + 1)
-    return moments.select("alpha", "xmin", "ks", power.alias("log_likelihood"), normal.alias("lognormal_log_likelihood"),
-                          (power - normal).alias("ratio"))
+    normal = -F.col("sl") - F.col("n") / 2 * (F.ln(two_pi * F.col("var")) + 1)
+    fit = cut(moments.withColumn("log_likelihood", power).withColumn("lognormal_log_likelihood", normal).withColumn("ratio", power - normal))
+    one = F.ln((F.col("alpha") - 1) / (F.col("xmin") - 0.5)) - F.col("alpha") * (lx - F.ln(F.col("xmin") - 0.5))
+    other = -lx - F.ln(two_pi * F.col("var")) / 2 - (lx - F.col("mu")) * (lx - F.col("mu")) / (2 * F.col("var"))
+    spread = tail.join(F.broadcast(fit)).agg(F.sum(F.col("c") * F.pow(one - other - F.col("ratio") / F.col("n"), F.lit(2.0))).alias("squares")).scalar()
+    whole = h.select("x", "c", F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"))
+    n = h.agg(F.sum("c")).scalar()
+    middle = lambda k: whole.filter(F.col("upto") > k).agg(F.min("x")).scalar()
+    return fit.select(
+        "alpha", "xmin", "ks", "log_likelihood", "lognormal_log_likelihood", "ratio",
+        erfc(F.abs("ratio") / F.sqrt(2.0 * spread)).alias("p"), h.agg(F.sum(F.col("x") * F.col("c")) / F.sum("c")).scalar().alias("mean"),
+        ((middle(F.floor((n - 1) / 2)) + middle(F.ceil((n - 1) / 2))) / 2).alias("median"))

@@ -127,11 +127,10 @@ def combine_vectors(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def mean_pool(tokens: DataFrame, key: str, column: str = "embedding") -> DataFrame:
-    """key, embedding: element-wise mean of all vectors of a key, by partial sums per (key, position)."""
-    cells = tokens.select(key, F.posexplode(column).alias("pos", "value"))
-    means = cells.groupBy(key, "pos").agg(F.avg(F.col("value").cast("double")).alias("v"))
-    packed = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))  # one entry per position
-    return packed.select(key, F.col("p.v").alias("embedding"))
+    """key, embedding: element-wise mean of all vectors of a key; a task sends one vector per key."""
+    vector = array_to_vector(F.transform(column, lambda x: x.cast("double")))
+    means = tokens.select(key, vector.alias("v")).groupBy(key).agg(Summarizer.mean(F.col("v")).alias("m"))
+    return means.select(key, vector_to_array("m").alias("embedding"))
 
 
 def edge_similarity(edges: DataFrame, vectors: DataFrame) -> DataFrame:

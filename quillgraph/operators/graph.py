@@ -25,6 +25,10 @@ class Graph:
         w = F.col(weight).cast("double") if weight else F.lit(1.0)
         return Graph(nodes, edges.select("src", "dst", w.alias("weight")))
 
+    def stored(self) -> "Graph":
+        """The same graph written once, for operators that read it several times."""
+        return Graph(cut(self.nodes), cut(self.edges))
+
     def oriented(self, orientation: str = NATURAL) -> DataFrame:
         """Edges as stored, turned round, or both (an undirected projection doubles the rows)."""
         back = self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
@@ -125,6 +129,7 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
 
 def quality_report(graph: Graph) -> DataFrame:
     """check, found: one row per structural check."""
+    graph = graph.stored()
     checks = {
         "duplicate_edges": duplicate_edges(graph.edges),
         "self_loops": self_loops(graph.edges),
@@ -150,47 +155,39 @@ ROWS_PER_PARTITION = 50_000
 class Adjacency:
     """Edges partitioned and sorted once by one end, and reused in every round of an iteration.
 
-    A merge join with a state then neither moves nor sorts the edges again.
+    A merge join with a state then neither moves nor sorts the edges again. There are as many partitions as the session
+    asks for, but no more than one per ROWS_PER_PARTITION rows (and FEW_PARTITIONS).
 
-    A key with more than `max(min_rows, rows / hot_limit)` edges is hot. Its edges get a slot number
-    and are spread over slots; its state row is copied once per slot. At most `hot_limit` keys can be
-    hot (their edges add up to at most all rows), so the hot list is bounded and safe to broadcast.
+    A key with more edges than a partition's share of all rows is hot. Its edges get a slot number for each such
+    share and are spread over slots; its state row is copied once per slot. There are fewer hot keys than partitions, so
+    the hot list is bounded and safe to broadcast, and no slot holds more than about one share.
     """
 
-    def __init__(self, edges: DataFrame, key: str, min_rows: int = 50_000, hot_limit: int = 1000):
+    def __init__(self, edges: DataFrame, key: str):
         spark = edges.sparkSession
         self.key = key
         other = "dst" if key == "src" else "src"
-        stored = cut(edges)
-        rows = stored.count()
-        self.rows = rows
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if parts > FEW_PARTITIONS:  # a small graph under a cluster-sized setting: avoid near-empty tasks
-            parts = min(parts, max(FEW_PARTITIONS, math.ceil(rows / ROWS_PER_PARTITION)))
+        degree = cut(edges.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("c")))
+        self.rows = degree.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = min(wanted, max(FEW_PARTITIONS, math.ceil(self.rows / ROWS_PER_PARTITION)))
+        share = max(1, math.ceil(self.rows / parts))
+        hot = degree.filter(F.col("c") > share).select("__hot", F.ceil(F.col("c") / share).cast("int").alias("__slots"))
         self.hot: DataFrame | None = None
-        if rows > min_rows:
-            limit = max(min_rows, math.ceil(rows / hot_limit))
-            hot = cut(
-                stored.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("c")).filter(F.col("c") > limit)
-                .select("__hot", F.ceil(F.col("c") / limit).cast("int").alias("__slots"))
-            )
-            if hot.count():
-                self.hot = hot
-                slotted = cut(
-                    stored.join(F.broadcast(hot), stored[key] == hot["__hot"], "left")
-                    .withColumn("__slot", F.pmod(F.xxhash64(other), F.coalesce("__slots", F.lit(1))).cast("int"))
-                    .drop("__hot", "__slots"))
-                stored = slotted
+        if not hot.isEmpty():
+            self.hot = cut(hot)
+            edges = edges.join(F.broadcast(self.hot), edges[key] == self.hot["__hot"], "left").withColumn(
+                "__slot", F.pmod(F.xxhash64(other), F.coalesce("__slots", F.lit(1))).cast("int")).drop("__hot", "__slots")
         keys = [key] if self.hot is None else [key, "__slot"]
-        self.edges = keep_partitioned(stored.repartition(parts, *keys).sortWithinPartitions(*keys))
+        self.edges = keep_partitioned(edges, parts, *keys)
 
     def attach(self, state: DataFrame, on: str = "id") -> DataFrame:
         """Join every edge with the state row of its key end (columns of both; `on` is dropped)."""
         state = state.withColumnRenamed(on, "__on")
         if self.hot is None:
-            return self.edges.join(state, self.edges[self.key] == state["__on"]).drop("__on")
+            return state.join(self.edges, self.edges[self.key] == state["__on"]).drop("__on")
         copies = state.join(F.broadcast(self.hot), F.col("__on") == F.col("__hot"), "left").withColumn(
             "__copy", F.explode(F.sequence(F.lit(0), F.coalesce("__slots", F.lit(1)) - 1))
         ).drop("__hot", "__slots")
         hit = (self.edges[self.key] == copies["__on"]) & (self.edges["__slot"] == copies["__copy"])
-        return self.edges.join(copies, hit).drop("__on", "__slot", "__copy")
+        return copies.join(self.edges, hit).drop("__on", "__slot", "__copy")

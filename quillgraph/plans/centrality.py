@@ -258,9 +258,19 @@ def _(spark, d):
     return co.strong_components(early_graph(spark, d))
 
 
+def _diversity(sql: str, nodes: str) -> str:
+    """Categories and members of every component that `sql` names."""
+    return sql.replace("SELECT a.s AS id", "SELECT component, count(DISTINCT category) AS categories, count(*) AS members FROM (SELECT a.s AS id") + (
+        f") p JOIN {nodes} USING (id) GROUP BY component")
+
+
+@query("strong_component_diversity_whole_graph", "G16 A5", "WITH RECURSIVE " + _diversity(_STRONG.format(x="", e="cites", n="articles"), "articles"))
+def _(spark, d):
+    return co.component_summary(co.strong_components(citation_graph(spark, d)), t.articles(spark, d))
+
+
 @query("strong_component_diversity", "G16 A5", f"WITH RECURSIVE {_EARLY_CTES},"
-       + _STRONG.format(x="", e="early_cites", n="early").replace("SELECT a.s AS id", "SELECT component, count(DISTINCT category) AS categories, count(*) AS members FROM (SELECT a.s AS id")
-       + ") p JOIN early USING (id) GROUP BY component")
+       + _diversity(_STRONG.format(x="", e="early_cites", n="early"), "early"))
 def _(spark, d):
     g = early_graph(spark, d)
     return co.component_summary(co.strong_components(g), g.nodes)
@@ -297,17 +307,22 @@ def _(spark, d):
 @query("power_law_fit", "G23 A15 A21", """
 WITH deg AS (SELECT dst, count(*) AS k FROM cites GROUP BY dst), h AS MATERIALIZED (SELECT k::DOUBLE AS x, count(*)::DOUBLE AS c FROM deg GROUP BY k),
 g AS MATERIALIZED (SELECT b.x AS x0, h.x, h.c FROM h b JOIN h ON h.x >= b.x),
-f AS MATERIALIZED (SELECT x0, sum(c) AS n, 1 + sum(c) / sum(c * ln(x / (x0 - 0.5))) AS alpha FROM g GROUP BY x0 HAVING sum(c) >= 50),
+f AS MATERIALIZED (SELECT x0, sum(c) AS n, 1 + sum(c) / sum(c * ln(x / (x0 - 0.5))) AS alpha FROM g GROUP BY x0),
 s AS (SELECT g.*, f.n, f.alpha, sum(g.c) OVER (PARTITION BY g.x0 ORDER BY g.x) / f.n AS emp FROM g JOIN f ON g.x0 = f.x0),
 best AS MATERIALIZED (SELECT x0, n, alpha, max(abs(emp - (1 - pow((x + 0.5) / (x0 - 0.5), 1 - alpha)))) AS ks FROM s GROUP BY ALL ORDER BY ks, x0 LIMIT 1),
 m AS (SELECT b.x0, b.n, b.alpha, b.ks, sum(h.c * ln(h.x)) AS sl, sum(h.c * ln(h.x) * ln(h.x)) AS sl2 FROM best b JOIN h ON h.x >= b.x0 GROUP BY ALL),
 l AS (SELECT *, n * ln((alpha - 1) / (x0 - 0.5)) - alpha * (sl - n * ln(x0 - 0.5)) AS pl,
-  -sl - n / 2 * (ln(2 * 3.141592653589793 * (sl2 / n - (sl / n) * (sl / n))) + 1) AS nl FROM m)
-SELECT round(alpha, 6) AS alpha, x0 AS xmin, round(ks, 6) AS ks, round(pl, 4) AS log_likelihood,
-  round(nl, 4) AS lognormal_log_likelihood, round(pl - nl, 4) AS ratio FROM l""")
+  -sl - n / 2 * (ln(2 * 3.141592653589793 * (sl2 / n - (sl / n) * (sl / n))) + 1) AS nl, sl / n AS mu, sl2 / n - (sl / n) * (sl / n) AS var FROM m),
+v AS (SELECT sum(h.c * pow(ln((alpha - 1) / (x0 - 0.5)) - alpha * (ln(x) - ln(x0 - 0.5))
+    - (-ln(x) - ln(2 * 3.141592653589793 * var) / 2 - (ln(x) - mu) * (ln(x) - mu) / (2 * var)) - (pl - nl) / n, 2)) AS squares FROM h, l WHERE h.x >= l.x0),
+z AS (SELECT abs(pl - nl) / sqrt(2 * squares) AS z, 1 / (1 + 0.3275911 * abs(pl - nl) / sqrt(2 * squares)) AS t FROM l, v)
+SELECT round(exp(-z * z) * (((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t), 6) AS p,
+  (SELECT round(avg(k), 6) FROM deg) AS mean, (SELECT median(k)::DOUBLE FROM deg) AS median, round(alpha, 6) AS alpha, x0 AS xmin, round(ks, 6) AS ks, round(pl, 4) AS log_likelihood,
+  round(nl, 4) AS lognormal_log_likelihood, round(pl - nl, 4) AS ratio FROM l, z""")
 def _(spark, d):
     from quillgraph.operators.graph import REVERSE, degree_distribution
 
     fit = co.power_law_fit(degree_distribution(citation_graph(spark, d), REVERSE))
     return fit.select(r6("alpha").alias("alpha"), "xmin", r6("ks").alias("ks"), F.round("log_likelihood", 4).alias("log_likelihood"),
-                      F.round("lognormal_log_likelihood", 4).alias("lognormal_log_likelihood"), F.round("ratio", 4).alias("ratio"))
+                      F.round("lognormal_log_likelihood", 4).alias("lognormal_log_likelihood"), F.round("ratio", 4).alias("ratio"),
+                      r6("p").alias("p"), r6("mean").alias("mean"), "median")

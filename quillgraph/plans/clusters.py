@@ -12,6 +12,7 @@ from quillgraph.operators.graph import Graph
 from quillgraph.operators.ranking import sample_per_group
 from quillgraph.plans.explore import citation_graph, r6
 from quillgraph.plans.registry import query
+from quillgraph.session import cut
 from quillgraph.sources import tables as t
 
 ROUNDS = 100
@@ -121,7 +122,7 @@ def _(spark, d):
 SELECT c.run, c.cluster, round(c.conductance, 6) AS conductance, round(v.coverage, 6) AS coverage, round(m.modularity, 8) AS modularity
 FROM ({_CON}) c JOIN ({_COV}) v USING (run, cluster) JOIN ({_MOD}) m USING (run, cluster)""")
 def _(spark, d):
-    f = flow(spark, d)
+    f = cut(flow(spark, d))
     return qu.conductance(f).join(qu.coverage(f), ["run", "cluster"]).join(qu.modularity(f), ["run", "cluster"]).select(
         "run", "cluster", r6("conductance").alias("conductance"), r6("coverage").alias("coverage"), F.round("modularity", 8).alias("modularity"))
 

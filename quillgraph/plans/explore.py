@@ -8,6 +8,7 @@ from quillgraph.operators import explore as ex
 from quillgraph.operators import graph as gr
 from quillgraph.operators import ranking as rk
 from quillgraph.plans.registry import query
+from quillgraph.session import cut
 from quillgraph.sources import tables as t
 
 
@@ -162,7 +163,7 @@ SELECT 0.5::DOUBLE AS share, round(quantile_cont(degree, 0.5), 6) AS degree FROM
 SELECT 0.9::DOUBLE, round(quantile_cont(degree, 0.9), 6) FROM deg UNION ALL
 SELECT 0.99::DOUBLE, round(quantile_cont(degree, 0.99), 6) FROM deg""")
 def _(spark, d):
-    deg = gr.degrees(citation_graph(spark, d), gr.REVERSE)
+    deg = cut(gr.degrees(citation_graph(spark, d), gr.REVERSE))
     out = None
     for share in (0.5, 0.9, 0.99):
         row = rk.exact_quantile_rows(deg, "degree", share).select(F.lit(share).alias("share"), r6("degree").alias("degree"))
@@ -194,6 +195,22 @@ def _(spark, d):
     return loops.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+@query("isolated_articles", "J6 G22", """
+WITH ends AS (SELECT src AS id FROM cites UNION SELECT dst FROM cites) SELECT a.id FROM articles a ANTI JOIN ends ON a.id = ends.id""")
+def _(spark, d):
+    return gr.isolated_nodes(t.articles(spark, d), t.cites(spark, d)).select("id")
+
+
+@query("never_citing_articles", "J6", "SELECT a.id FROM articles a ANTI JOIN cites c ON a.id = c.src")
+def _(spark, d):
+    return gr.without_out_edges(t.articles(spark, d), t.cites(spark, d)).select("id")
+
+
+@query("never_cited_articles", "J6", "SELECT a.id FROM articles a ANTI JOIN cites c ON a.id = c.dst")
+def _(spark, d):
+    return gr.without_in_edges(t.articles(spark, d), t.cites(spark, d)).select("id")
+
+
 _EARLY = """
 early AS (SELECT id, category FROM articles WHERE year <= 1995),
 early_cites AS (SELECT c.src, c.dst, c.weight FROM cites c JOIN early a ON c.src = a.id JOIN early b ON c.dst = b.id)"""

@@ -67,26 +67,33 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "state")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.__dict__["_scratch"] = path
+    return stored
 
 
-ADAPTIVE = "spark.sql.adaptive.enabled"
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a frame that `cut` returned, once a later one has been written from it."""
+    path = df.__dict__.pop("_scratch", None)
+    if path:
+        drop_path(df.sparkSession, path)
 
 
-def keep_partitioned(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint whose partitioning and order later joins can rely on.
+def keep_partitioned(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Reliable checkpoint of `df`, partitioned and sorted by `keys` in a way that later joins can rely on.
 
-    An adaptive plan does not tell its partitioning, so this one plan (a repartition and sort of a
-    stored table) is not adaptive.
+    An adaptive plan does not tell its partitioning, so the stored rows are dealt out in a session of their own that
+    plans without it; settings of the caller's session stay as they are.
     """
     spark = df.sparkSession
     checkpoint_root(spark)
-    before = spark.conf.get(ADAPTIVE)
-    spark.conf.set(ADAPTIVE, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(ADAPTIVE, before)
+    path = scratch_path(spark, "edges")
+    df.write.parquet(path)
+    aside = spark.newSession()
+    aside.conf.set("spark.sql.adaptive.enabled", "false")
+    kept = aside.read.schema(df.schema).parquet(path).repartition(parts, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    drop_path(spark, path)
+    return kept
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -166,8 +166,15 @@ def test_degrees(make):
 def test_hot_key_is_split_and_keeps_every_edge(spark, make):
     edges = [(0, i) for i in range(1, 400)] + [(i, 0) for i in range(1, 50)]
     g = make(edges)
-    adjacency = gr.Adjacency(g.edges, "src", min_rows=50, hot_limit=4)
-    assert adjacency.hot.count() == 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        adjacency = gr.Adjacency(g.edges, "src")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r["__hot"] for r in adjacency.hot.collect()] == [0]
+    spread = adjacency.edges.filter("src = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) >= 6 and max(r["count"] for r in spread) <= 399 / 3
     state = g.nodes.select("id", (F.col("id") * 2).alias("x"))
     got = sorted((r["src"], r["dst"], r["x"]) for r in adjacency.attach(state).collect())
     assert got == sorted((a, b, 2 * a) for a, b in edges)
@@ -188,7 +195,7 @@ def test_modularity_communities(make, method):
     assert q == pytest.approx(2 * (3 / 7 - (7 / 14) ** 2))
 
 
-@pytest.mark.parametrize("far", [None, 1e13, 1e16])
+@pytest.mark.parametrize("far", [1e16])
 def test_a_heavy_edge_elsewhere_changes_nothing(make, far):
     edges = [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)] + ([(7, 8, far)] if far else [])
     for method in (cm.louvain, cm.leiden, cm.modularity_optimization):

@@ -12,7 +12,7 @@ import quillgraph.plans.all  # noqa: E402,F401
 from quillgraph.plans.registry import REGISTRY  # noqa: E402
 
 NOTES = {
-    "IO16": "createDataFrame for the bounded vocabulary in `operators/topics.py`; tests",
+    "IO16": "createDataFrame for the vocabulary of the topic model in `operators/topics.py`; tests",
     "IO15": "`sources/files.on_disk`; reused frames are otherwise stored with `session.cut`",
     "F13": "explode / posexplode throughout `operators/terms.py` and `operators/embedding.py`",
     "U5": "not needed: every run is one row from the start",
