@@ -36,8 +36,7 @@ from quillgraph.llm.elias_fano import Trie
 from quillgraph.llm.words import Words, hash_words, mix, words_of
 
 MU = 100.0
-SHARD_TOKENS = 3_000_000
-PIECE = 8 << 20
+SHARD_TOKENS = 2_000_000
 HOT_WORDS = 1000
 SPLIT_WORDS = 1_000_000
 _U = np.uint64
@@ -66,7 +65,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in words_of(batch.column(0), lower=True, piece=PIECE):
+            for w in words_of(batch.column(0), lower=True):
                 values, n = np.unique(tokens(w)[0], return_counts=True)
                 yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], names=["word", "c"])
 
@@ -121,7 +120,7 @@ def hot_trie(docs: DataFrame, known: Vocabulary) -> Trie:
         mine = Vocabulary(*shared.value)
         size = len(mine.words)
         for batch in batches:
-            for w in words_of(batch.column(0), lower=True, piece=PIECE):
+            for w in words_of(batch.column(0), lower=True):
                 word, before, _ = tokens(w)
                 a, b = mine.place(word), mine.place(before)
                 both = (a >= 0) & (b >= 0)
@@ -161,7 +160,7 @@ def route(docs: DataFrame, known: Vocabulary, trie: Trie, shards: int) -> DataFr
         piece = TaskContext.get().partitionId() << 32
         for batch in batches:
             held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for w in words_of(batch.column(0), lower=True, piece=PIECE):
+            for w in words_of(batch.column(0), lower=True):
                 word, before, row = tokens(w)
                 a, b = mine.place(word), mine.place(before)
                 near = (a >= 0) & (b >= 0)

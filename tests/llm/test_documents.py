@@ -159,7 +159,7 @@ def language_model(rows, held, mu):
                sum(math.log10((two[v, w] + mu * prior(w)) / (count[v] + mu)) for v, w in zip(["<end>", *words], words)))
 
 
-@pytest.mark.parametrize("shard", [3_000_000, 2000])
+@pytest.mark.parametrize("shard", [2_000_000, 2000])
 def test_language_model(documents, shard, monkeypatch):
     import zlib
 
