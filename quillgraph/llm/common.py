@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.session import scratch_path
@@ -13,10 +13,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_KEYS = 1000
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back; its true size is then known to the planner."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +53,3 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, how: str =
     one = left.join(F.broadcast(hot), key, "inner")
     rest = left.join(keys, key, "left_anti")
     return one.unionByName(rest.join(cold, key, how), allowMissingColumns=True)
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

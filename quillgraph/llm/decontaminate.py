@@ -33,6 +33,8 @@ from quillgraph.llm.words import NO_LETTER, hash_words, words_of
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+#: Shards are a few megabytes each; small row groups keep what a writer and a reader buffer small.
+ROW_GROUP_BYTES = 16 << 20
 _INDEX = "shard bigint, row_keys array<bigint>, first binary, terms binary, term_ends binary, list_ends binary, deltas binary"
 _U4 = np.uint32
 
@@ -66,7 +68,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     names=["doc_ids", "shard", "row_keys", "first", "terms", "term_ends", "list_ends", "deltas"])
                 shard += 1
 
-    return store(frame.mapInArrow(run, f"{schema}, {_INDEX}"), "index")
+    return store(frame.mapInArrow(run, f"{schema}, {_INDEX}"), "index", **{"parquet.block.size": str(ROW_GROUP_BYTES)})
 
 
 class Postings:
