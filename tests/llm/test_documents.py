@@ -40,8 +40,8 @@ def test_exact_decisions(documents):
     same([tuple(r) for r in got], brute.exact(pairs(rows)))
 
 
-def test_exact_survivors(documents):
-    rows, df = documents
+def test_exact_survivors(awkward):
+    rows, df = awkward
     got = exact_dedup.survivors(df)
     assert got.columns == df.columns
     kept = {(i, t) for (i, t), d in zip(pairs(rows), brute.exact(pairs(rows))) if d[3]}
@@ -54,8 +54,8 @@ def test_simhash(documents):
     same([tuple(r) for r in got], brute.near(pairs(rows)))
 
 
-def test_simhash_survivors(documents):
-    rows, df = documents
+def test_simhash_survivors(awkward):
+    rows, df = awkward
     got = simhash.survivors(df)
     assert got.columns == df.columns
     want = {c for _, _, c in brute.near(pairs(rows))}
