@@ -26,8 +26,8 @@ class Graph:
         return Graph(nodes, edges.select("src", "dst", w.alias("weight")))
 
     def stored(self) -> "Graph":
-        """The same graph written once, for operators that read it several times."""
-        return Graph(cut(self.nodes), cut(self.edges))
+        """The same graph with its edges written once, for operators that read them several times."""
+        return Graph(self.nodes, cut(self.edges))
 
     def oriented(self, orientation: str = NATURAL) -> DataFrame:
         """Edges as stored, turned round, or both (an undirected projection doubles the rows)."""
