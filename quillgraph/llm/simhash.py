@@ -199,8 +199,8 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return buckets.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One row per row of `docs`: doc_id, row_key, fp, component_id (least doc_id reachable by links)."""
+def rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """One row per row of `docs`: doc_id, row_key, fp, component_id (least doc_id reachable by links), root (tells components apart)."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("row_key"))
     prints = store(fingerprints(base, "text", ("doc_id", "row_key")), "fingerprints")
     classes = store(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
@@ -208,8 +208,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = store(classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
                     .select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "members")
     whole = store(members.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")), "components")
-    named = store(join_hot(members, whole, "root", "size").select("fp", "component_id", "n"), "named")
-    return join_hot(prints, named, "fp", "n").select("doc_id", "row_key", "fp", "component_id")
+    named = store(join_hot(members, whole, "root", "size").select("fp", "component_id", "root", "n"), "named")
+    return join_hot(prints, named, "fp", "n").select("doc_id", "row_key", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """One row per row of `docs`: doc_id, row_key, fp, component_id (least doc_id reachable by links)."""
+    return rooted(docs, doc_id, text, distance).drop("root")
 
 
 def hex_print(fp) -> object:
@@ -219,11 +224,14 @@ def hex_print(fp) -> object:
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` of which each component keeps one: that with the least id (of rows without any id, one)."""
-    found = store(near_duplicates(docs, doc_id, text), "near")
+    return one_of_each(docs, rooted(docs, doc_id, text), doc_id, text)
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of `docs` for each root; `grouped` has doc_id, row_key and root of every row. Ids needn't be unique or present."""
+    found = store(grouped.select("doc_id", "row_key", "root"), "near")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row_key").alias("k"))
-    # a component without ids is told apart by nothing but its rows, so null components share one survivor per fingerprint
-    group = F.struct(F.col("component_id").alias("c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f"))
-    best = found.groupBy(group.alias("g")).agg(F.min(order).alias("best")).select(F.col("best.k").alias("k")).distinct()
+    best = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.k").alias("k")).distinct()
     key = free_name(docs, "row_key")
     marked = docs.withColumn(key, row_key(doc_id, text))
     kept = marked.join(best.withColumnRenamed("k", key), key, "left_semi")

@@ -62,6 +62,18 @@ def test_simhash_survivors(awkward):
     assert Counter(r.doc_id for r in got.collect()) == Counter(want)
 
 
+def test_simhash_survivors_of_repeated_and_missing_ids(spark):
+    base, other = " ".join(f"w{i % 17}x{i}" for i in range(200)), " ".join(f"v{i % 13}y{i}" for i in range(200))
+    copies = [base.replace("w3x3 ", f"new{k} ", 1) for k in range(8)]
+    close = [t for t in copies if 0 < bin(brute.fingerprint(t) ^ brute.fingerprint(base)).count("1") <= 3]
+    assert close
+    rows = [(7, base), (7, other), (9, "plain words here")]
+    got = simhash.survivors(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter(rows)
+    got = simhash.survivors(spark.createDataFrame([(None, t) for t in (base, close[0], other)], "doc_id bigint, text string")).collect()
+    assert len(got) == 2 and other in {r.text for r in got}
+
+
 def test_xxh64_and_bucket_search():
     rnd = np.random.default_rng(1)
     data = rnd.integers(0, 256, 4000, dtype=np.uint8)
