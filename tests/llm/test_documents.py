@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on awkward rows and on the smallest table."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillgraph.llm import components, decontaminate, exact_dedup, fm_dedup, mixing, ngram_lm, simhash
+from quillgraph.llm import components, decontaminate, exact_dedup, fm_dedup, mixing, near_copies, ngram_lm, simhash
 from quillgraph.llm.common import remainder
 from tests.llm import brute
 
@@ -74,6 +75,46 @@ def test_simhash_survivors_of_repeated_and_missing_ids(spark):
     assert len(got) == 2 and other in {r.text for r in got}
 
 
+def by_similarity(rows):
+    """Component of each row by all pairs of five-word shingle sets."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(brute.WORD, brute.lower(t))
+        sets.append({" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_near_copies(spark, documents, few, monkeypatch):
+    monkeypatch.setattr(near_copies, "SMALL", few)
+    monkeypatch.setattr(near_copies, "LEADERS", 1 if few == 2 else 4)
+    rows, df = documents
+    rnd = np.random.default_rng(3)
+    word = lambda k: f"w{k}"
+    base = [word(k) for k in rnd.integers(0, 500, 300)]
+    extra = []
+    for k in range(40):  # a family around one text, similar in part to each other only
+        t = list(base)
+        for at in rnd.integers(0, 300, k % 9):
+            t[at] = f"new{k}x{at}"
+        extra.append((1000 + k, " ".join(t), *rows[0][2:]))
+    df = df.unionByName(spark.createDataFrame(extra, df.schema))
+    rows = pairs(rows) + pairs(extra)
+    root = by_similarity(rows)
+    assert len(set(root)) < len({t for _, t in rows}) - 10
+    got = near_copies.survivors(df).collect()
+    best = {}
+    for (i, t), r in zip(rows, root):
+        best.setdefault(r, []).append((i is None, i or 0))
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == Counter(min(v) for v in best.values())
+
+
 def test_xxh64_and_bucket_search():
     rnd = np.random.default_rng(1)
     data = rnd.integers(0, 256, 4000, dtype=np.uint8)
