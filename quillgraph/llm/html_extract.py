@@ -55,15 +55,17 @@ CONTENT_WORDS = frozenset("article content entry post story main body text parag
 W_BASE, W_BOILER, W_BOILER_CLASS, W_MAIN, W_CONTENT_CLASS, W_PARAGRAPH = -0.4, -12.0, -10.0, 3.5, 1.2, 0.8
 W_LINKS, W_STOP, W_LONG, W_HEADING, W_RIGHTS, W_PAGE_HEADER = -4.0, 0.7, 0.5, 0.6, -3.0, -10.0
 SMOOTH_NEXT, SMOOTH_PARENT, SCALE = 1.2, 0.8, 1000
+#: Where blocks that score as content hold less than LEAST of a page's unlinked text, a wrapper with more than MOST of it is not boilerplate.
+MOST, LEAST = 0.6, 0.05
 
 
 class Node:
     """An open element: its parent, depth, score for the blocks inside, and what its class words said."""
 
-    __slots__ = ("name", "parent", "depth", "score", "by_class", "main", "link", "inside")
+    __slots__ = ("name", "parent", "depth", "score", "by_class", "main", "link", "inside", "hidden", "held")
 
-    def __init__(self, name: str, parent: "Node | None", score: float = 0.0, by_class: float = 0.0):
-        self.name, self.parent, self.score, self.by_class, self.main = name, parent, score, by_class, False
+    def __init__(self, name: str, parent: "Node | None", score: float = 0.0, by_class: float = 0.0, hidden: float = 0.0):
+        self.name, self.parent, self.score, self.by_class, self.hidden, self.main, self.held = name, parent, score, by_class, hidden, False, 0
         self.depth = parent.depth + 1 if parent else 0
         self.link = name == "a" or bool(parent and parent.link)
         self.inside = name in ("article", "main") or bool(parent and parent.inside)
@@ -76,10 +78,10 @@ class Block:
         self.text, self.linked, self.node = text, linked, node
 
 
-def _scores(name: str, attrs: str, inside: bool) -> tuple[float, float]:
-    """Score of an element for what it holds: by its kind, and by its class and id words. inside: it is in an article."""
+def _scores(name: str, attrs: str, inside: bool) -> tuple[float, float, float]:
+    """Score of an element for what it holds: by its kind, by its class and id words, and for being hidden. inside: it is in an article."""
     own = W_BOILER if name in BOILER_TAGS else W_MAIN if name in ("article", "main") else W_PAGE_HEADER if name == "header" and not inside else 0.0
-    by_class = 0.0
+    by_class = hidden = 0.0
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -87,7 +89,7 @@ def _scores(name: str, attrs: str, inside: bool) -> tuple[float, float]:
                 role = value.lower()
                 own += W_BOILER if role in BOILER_ROLES else W_MAIN if role in ("main", "article") else 0.0
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                own += W_BOILER
+                hidden += W_BOILER
             elif key == "itemprop" and value.lower() == "articlebody":
                 own += W_MAIN
             elif key in ("class", "id") and name not in ("html", "body"):
@@ -96,7 +98,7 @@ def _scores(name: str, attrs: str, inside: bool) -> tuple[float, float]:
                     by_class = W_BOILER_CLASS
                 elif words & CONTENT_WORDS and by_class >= 0:
                     by_class = W_CONTENT_CLASS
-    return own, by_class
+    return own, by_class, hidden
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -174,9 +176,39 @@ def blocks_of(page: str) -> list[Block]:
                 node.main = True
                 node = node.parent
     flush()
+    if not article_seen:
+        _lift_wrappers(found)
     return found
 
 
+def _lift_wrappers(blocks: list[Block]) -> None:
+    """A wrapper of most of the unlinked text isn't a menu if next to nothing else is content; what is hidden stays as it is."""
+    total = clear = 0
+    for b in blocks:
+        size = 0 if _hidden(b.node) else max(0, len(b.text) - b.linked)
+        total += size
+        clear += size if score(b) > 0 else 0
+        node = b.node
+        while node.parent is not None:
+            node.held += size
+            node = node.parent
+    if clear >= LEAST * total:
+        return
+    for b in blocks:
+        node = b.node
+        while node.parent is not None:
+            node.main = node.main or node.held > MOST * total
+            node = node.parent
+
+
+def _hidden(node: Node) -> bool:
+    while node is not None:
+        if node.hidden:
+            return True
+        node = node.parent
+    return False
+
+
 def _same_block(top: Node, node: Node) -> bool:
     while top is not node:
         if top.name in BLOCK:
@@ -189,9 +221,9 @@ def score(b: Block) -> float:
     """Log odds that the block is content."""
     s, best, node = W_BASE, 0.0, b.node
     while node.parent is not None:  # the strongest sign of content counts once, every sign of boilerplate counts
-        by_class = 0.0 if node.main and node.by_class < 0 else node.by_class
-        s += min(0.0, node.score) + min(0.0, by_class)
-        best = max(best, node.score, by_class)
+        own, by_class = (max(0.0, x) if node.main else x for x in (node.score, node.by_class))
+        s += min(0.0, own) + min(0.0, by_class) + node.hidden
+        best = max(best, own, by_class)
         node = node.parent
     s += best
     size = len(b.text)

@@ -107,6 +107,19 @@ def test_pages_by_hand(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("start, end", [
+    ("<form><article>", "</article></form>"), ("<form><div>", "</div></form>"), ("<div class='with-sidebar'>", "</div>"),
+    ("<div id='has-comments'><div>", "</div></div>"), ("<div role=form><main>", "</main></div>")])
+def test_wrappers_of_the_main_text(start, end):
+    body = "This is a long paragraph of text with several sentences. It goes on and on, and then it stops after some more words."
+    menu, small = "<nav><a href=1>Home</a><a href=2>About</a></nav>", "<aside><p>Sign up for our letter today.</p></aside>"
+    page = f"<body>{menu}{start}<p>{body}</p><p>{body}</p>{end}{small}</body>"
+    assert html_extract.main_text(page) == f"{body}\n{body}"
+    talk = "<div class=comments>" + f"<p>{body}</p>" * 5 + "</div>"
+    assert html_extract.main_text(f"<div><p>{body}</p><p>{body}</p></div>{talk}") == f"{body}\n{body}"
+    assert html_extract.main_text(f"<article><div hidden><p>{body}</p><p>{body}</p></div><p>Seen text, that stays here.</p></article>") == "Seen text, that stays here."
+
+
 def test_minimum_cut_against_all_labellings():
     import itertools
     import random
