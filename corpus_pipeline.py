@@ -2,14 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; every row keeps the columns of
 documents. No stage is expressible in SQL as a whole (a trained classifier, fingerprints), so ORACLE_SQL is None and
-`tests/llm/test_pipeline.py` holds the stages against brute force.
+`tests/llm/test_others.py` holds the stages against brute force.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontaminate, exact_dedup, language_id, mixing, near_copies
+from quillgraph.llm import decontaminate, exact_dedup, language_id, mixing, simhash
 from quillgraph.llm.common import remainder, store, table
 
 
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (similarity of five-word shingles of 0.8 or more) stays."""
-    return near_copies.survivors(docs)
+    """One row of each group of near copies stays, by the settings of the SimHash operator: three words, three differing bits."""
+    return simhash.survivors(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
