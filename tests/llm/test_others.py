@@ -200,6 +200,6 @@ def test_stages_on_awkward_rows(spark, awkward):
 
 
 def test_registered_names():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "mixing"]
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")
