@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat_format, decontaminate, exact_dedup, fim, fm_dedup, html_extract, language_id, mixing, ngram_lm, simhash, warc
+from quillgraph.llm import chat_format, decontaminate, exact_dedup, fim, fm_dedup, html_extract, language_id, license_scan, mixing, ngram_lm, simhash, warc
 from quillgraph.llm.common import remainder, table
 
 QUERIES = {}
@@ -164,3 +164,32 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
                        digest(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def _license_sql() -> str:
+    """The rules as a table of values, words and windows as lists, and overlaps by the furthest end before each detection."""
+    values = ", ".join(f"({k}, {level}, '{key}', '{regex}', '{label}', CAST({weight} AS DOUBLE))" for k, level, key, regex, label, weight in license_scan.rule_rows())
+    reach = " ".join(f"WHEN {k} THEN max(CASE WHEN level BETWEEN 1 AND {k} THEN stop END) OVER w" for k in license_scan.LEVELS)
+    return rf"""
+WITH rules(rule, level, key, regex, label, weight) AS (VALUES {values}),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'),
+    '{license_scan.WORD}') AS words FROM documents),
+places AS (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM docs),
+windows AS MATERIALIZED (SELECT rid, i - 1 AS start, words[i] AS key, array_to_string(words[i:i + {license_scan.MAX_WORDS - 1}], ' ') || ' ' AS next
+  FROM places WHERE words[i] IN (SELECT key FROM rules)),
+hits AS (SELECT rid, start, start + length(m) - length(replace(m, ' ', '')) AS stop, rule, level, label, weight
+  FROM (SELECT w.*, r.rule, r.level, r.label, r.weight, regexp_extract(w.next, r.regex) AS m FROM windows w JOIN rules r ON w.key = r.key) WHERE m <> ''),
+judged AS (SELECT *, CASE level {reach} END AS furthest FROM hits
+  WINDOW w AS (PARTITION BY rid ORDER BY start, stop DESC, level, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+kept AS (SELECT *, level = 0 AS base, level = 0 OR coalesce(furthest < stop, true) AS kept FROM judged),
+found AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (kept)), ',') AS labels,
+    max(weight) FILTER (kept) AS score FROM kept GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM docs LEFT JOIN found USING (rid)"""
+
+
+@register(_license_sql())
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents")))
