@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat_format, decontaminate, exact_dedup, fim, fm_dedup, html_extract, language_id, license_scan, mixing, ngram_lm, simhash, warc
+from quillgraph.llm import chat_format, decontaminate, exact_dedup, fim, fm_dedup, html_extract, language_id, license_scan, mixing, ngram_lm, simhash, spelling, warc
 from quillgraph.llm.common import remainder, table
 
 QUERIES = {}
@@ -193,3 +193,27 @@ FROM docs LEFT JOIN found USING (rid)"""
 @register(_license_sql())
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@register(r"""
+WITH RECURSIVE polynomial AS (SELECT i AS b, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) t(i)
+  UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM polynomial WHERE k < 8),
+crc_table AS (SELECT b, c FROM polynomial WHERE k = 8),
+runs AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{5,}')) AS w FROM documents) GROUP BY ALL),
+hexed AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM runs),
+crc AS (SELECT doc_id, w, n, x, 1 AS i, 4294967295 AS c FROM hexed
+  UNION ALL SELECT doc_id, w, n, x, i + 2, xor(r.c // 256, t.c) FROM crc r JOIN crc_table t ON t.b = xor(r.c % 256, CAST('0x' || substr(x, i, 2) AS BIGINT)) WHERE i < length(x)),
+drawn AS (SELECT w, n, xor(c, 4294967295) AS h FROM crc WHERE i > length(x)),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM drawn)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN less b ON a.word = b.rest UNION SELECT b.word, a.word, a.n FROM words a JOIN less b ON a.word = b.rest),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS near, max(m) AS m FROM pairs GROUP BY word),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN near END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root, 0 AS steps FROM formed UNION ALL SELECT up.word, f.form, steps + 1 FROM up JOIN formed f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.*, u.root FROM formed f JOIN (SELECT word, arg_max(root, steps) AS root FROM up GROUP BY word) u USING (word)""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
