@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NO_LETTER = "[^A-Za-zÀ-ÿ]+"
+#: All but A-Z, a-z and U+00C0 to U+00FF, as a union of ranges: Java matches the negated class about ten times as slowly.
+NO_LETTER = r"[\x00-\x40\x5B-\x60\x7B-\xBF\x{100}-\x{10FFFF}]+"
 LETTERS = 5
 TIMES = 3
 TYPO = 97
