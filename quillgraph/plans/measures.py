@@ -1,4 +1,4 @@
-"""Nearest neighbours, geometry of clusterings and their agreement."""
+"""Nearest neighbours, geometry of clusterings and their agreement, personalised rank, scaled scores."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from quillgraph.operators import agreement as ag
 from quillgraph.operators import cohesion as co
 from quillgraph.operators import neighbours as ne
-from quillgraph.plans.explore import r6
+from quillgraph.operators import personal as pe
+from quillgraph.operators.graph import REVERSE, degrees
+from quillgraph.plans.explore import citation_graph, r6
 from quillgraph.plans.registry import query
+from quillgraph.session import cut
 from quillgraph.sources import tables as t
 
 DIM = 64
@@ -154,3 +157,62 @@ def _(spark, d):
 @query("agreement_of_consensus_with_nulls", "2.13d 2.13e", _agreement_sql("consensus", True))
 def _(spark, d):
     return _agreed(ag.contingency(t.clusters(spark, d).select("run", "id", F.col("consensus").alias("cluster")), null_is_cluster=True))
+
+
+# ---------------------------------------------------------------- personalised rank, scaled scores
+
+def _push_sql(rounds: int, tolerance: float, seeds: str, weight: str) -> str:
+    steps = [f"e AS MATERIALIZED (SELECT src, dst, {weight} / sum({weight}) OVER (PARTITION BY src) AS share FROM cites)",
+             """s AS MATERIALIZED (SELECT src, dst, share FROM e UNION ALL SELECT id, NULL, 1.0 FROM articles WHERE id NOT IN (SELECT src FROM e))""",
+             f"t0 AS MATERIALIZED (SELECT seed, seed AS id, 0.0::DOUBLE AS score, 1.0::DOUBLE AS waiting FROM ({seeds}))"]
+    for i in range(1, rounds + 1):
+        steps.append(f"""t{i} AS MATERIALIZED (SELECT seed, id, sum(score) AS score, sum(waiting) AS waiting FROM (
+  SELECT seed, id, CASE WHEN waiting > {tolerance} THEN score + (1 - 0.85::DOUBLE) * waiting ELSE score END AS score, CASE WHEN waiting > {tolerance} THEN 0 ELSE waiting END AS waiting FROM t{i - 1}
+  UNION ALL SELECT t.seed, coalesce(s.dst, t.seed), 0, 0.85::DOUBLE * t.waiting * s.share FROM t{i - 1} t JOIN s ON s.src = t.id WHERE t.waiting > {tolerance}) GROUP BY seed, id)""")
+    return "WITH " + ",\n".join(steps)
+
+
+_TEN_SEEDS = "SELECT id AS seed FROM articles WHERE id % 200 = 1"
+
+
+def _ten_seeds(spark, d):
+    return t.articles(spark, d).filter("id % 200 = 1").select(F.col("id").alias("seed"))
+
+
+@query("personalised_rank", "2.13i", _push_sql(8, 1e-4, _TEN_SEEDS, "1.0::DOUBLE") + "\nSELECT seed, id, round(score, 6) AS score FROM t8 WHERE score > 0")
+def _(spark, d):
+    found = pe.personalised_rank(citation_graph(spark, d), _ten_seeds(spark, d), tolerance=1e-4, rounds=8)
+    return found.select("seed", "id", r6("score").alias("score"))
+
+
+@query("personalised_rank_mass", "2.13i", _push_sql(8, 1e-3, _TEN_SEEDS, "weight") + """
+SELECT seed, count(*) AS touched, round(sum(score) + sum(waiting), 6) AS mass, round(sum(waiting), 6) AS waiting FROM t8 GROUP BY seed""")
+def _(spark, d):
+    found = pe.push(citation_graph(spark, d, "weight"), _ten_seeds(spark, d), tolerance=1e-3, rounds=8)
+    return found.groupBy("seed").agg(F.count("*").alias("touched"), r6(F.sum("score") + F.sum("waiting")).alias("mass"), r6(F.sum("waiting")).alias("waiting"))
+
+
+_IN_DEGREE = "WITH s AS (SELECT a.id, a.category, count(c.src)::DOUBLE AS x FROM articles a LEFT JOIN cites c ON c.dst = a.id GROUP BY a.id, a.category)"
+
+
+def _in_degrees(spark, d):
+    found = degrees(citation_graph(spark, d), REVERSE).select("id", F.col("degree").cast("double").alias("score"))
+    return found.join(t.articles(spark, d).select("id", "category"), "id")
+
+
+@query("scaled_scores", "2.13j", _IN_DEGREE + """
+SELECT id, round(coalesce((x - min(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0), 0), 6) AS min_max, round(coalesce(x / nullif(max(abs(x)) OVER (), 0), 0), 6) AS "max",
+  round(coalesce((x - avg(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0), 0), 6) AS mean, round(ln(x + 1), 6) AS log,
+  round(coalesce((x - avg(x) OVER ()) / nullif(stddev_pop(x) OVER (), 0), 0), 6) AS standard, round(coalesce(x / nullif(sum(abs(x)) OVER (), 0), 0), 6) AS l1,
+  round(coalesce(x / nullif(sqrt(sum(x * x) OVER ()), 0), 0), 6) AS l2, round(x - avg(x) OVER (), 6) AS center FROM s""")
+def _(spark, d):
+    scores = cut(_in_degrees(spark, d)).select("id", *[F.col("score").alias(how) for how in pe.SCALERS])
+    for how in pe.SCALERS:
+        scores = pe.scale(scores, how, how, offset=1.0)
+    return scores.select("id", *[r6(how).alias(how) for how in pe.SCALERS])
+
+
+@query("scores_scaled_per_category", "2.13j", _IN_DEGREE + """
+SELECT id, category, round(coalesce(x / nullif(sum(abs(x)) OVER (PARTITION BY category), 0), 0), 6) AS score FROM s""")
+def _(spark, d):
+    return pe.scale(cut(_in_degrees(spark, d)), "l1", within=("category",)).select("id", "category", r6("score").alias("score"))
