@@ -1,4 +1,4 @@
-"""Nearest neighbours, geometry of clusterings and their agreement, personalised rank, scaled scores."""
+"""Nearest neighbours, geometry of clusterings and their agreement, personalised rank, scaled scores, neighbour sets."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import agreement as ag
 from quillgraph.operators import cohesion as co
 from quillgraph.operators import neighbours as ne
+from quillgraph.operators import overlap as ov
 from quillgraph.operators import personal as pe
 from quillgraph.operators.graph import REVERSE, degrees
 from quillgraph.plans.explore import citation_graph, r6
@@ -216,3 +217,50 @@ def _(spark, d):
 SELECT id, category, round(coalesce(x / nullif(sum(abs(x)) OVER (PARTITION BY category), 0), 0), 6) AS score FROM s""")
 def _(spark, d):
     return pe.scale(cut(_in_degrees(spark, d)), "l1", within=("category",)).select("id", "category", r6("score").alias("score"))
+
+
+# ---------------------------------------------------------------- neighbour sets
+
+_SETS = {
+    "ancestors": "SELECT DISTINCT src AS owner, dst AS element FROM cites",
+    "children": "SELECT DISTINCT dst AS owner, src AS element FROM cites",
+    "ancestors_of_children": "SELECT DISTINCT a.dst AS owner, b.dst AS element FROM cites a JOIN cites b ON a.src = b.src AND a.dst <> b.dst",
+    "categories": "SELECT DISTINCT CAST(a.category AS BIGINT) AS owner, c.dst AS element FROM cites c JOIN articles a ON a.id = c.src",
+}
+
+
+def _jaccard_sql(kind: str, threshold: float) -> str:
+    return f"""
+WITH s AS MATERIALIZED ({_SETS[kind]}),
+whole AS (SELECT owner, count(*) AS size, list(element ORDER BY element) AS elements FROM s GROUP BY owner),
+reps AS MATERIALIZED (SELECT min(owner) AS owner, any_value(size) AS size FROM whole GROUP BY elements),
+m AS MATERIALIZED (SELECT s.owner, s.element, r.size FROM s JOIN reps r USING (owner)),
+c AS (SELECT a.owner AS a, b.owner AS b, a.size AS size_a, b.size AS size_b, count(*) AS common FROM m a JOIN m b ON a.element = b.element AND a.owner < b.owner GROUP BY ALL)
+SELECT a, b, common, round(common / (size_a + size_b - common), 6) AS jaccard FROM c WHERE common >= {threshold} * (size_a + size_b - common)"""
+
+
+def _register_jaccard(name: str, kind: str, threshold: float) -> None:
+    @query(name, "2.13f", _jaccard_sql(kind, threshold))
+    def _(spark, d):
+        found = ov.similar_sets(getattr(ov, kind)(t.cites(spark, d)), threshold)
+        return found.select("a", "b", "common", r6("jaccard").alias("jaccard"))
+
+
+_register_jaccard("similar_ancestors", "ancestors", 0.5)
+_register_jaccard("similar_ancestors_loosely", "ancestors", 0.15)
+_register_jaccard("similar_children_loosely", "children", 0.15)
+_register_jaccard("similar_ancestors_of_children", "ancestors_of_children", 0.2)
+
+
+@query("similar_ancestors_of_categories", "2.13f", _jaccard_sql("categories", 0.3))
+def _(spark, d):
+    ends = t.cites(spark, d).join(t.articles(spark, d).select(F.col("id").alias("src"), "category"), "src")
+    found = ov.similar_sets(ends.select(F.col("category").cast("bigint").alias("owner"), F.col("dst").alias("element")).distinct(), 0.3)
+    return found.select("a", "b", "common", r6("jaccard").alias("jaccard"))
+
+
+@query("equal_ancestors", "2.13f", f"""
+WITH s AS ({_SETS["ancestors"]}), whole AS (SELECT owner, count(*) AS size, list(element ORDER BY element) AS elements FROM s GROUP BY owner)
+SELECT owner, min(owner) OVER (PARTITION BY elements) AS rep, size, count(*) OVER (PARTITION BY elements) AS copies FROM whole""")
+def _(spark, d):
+    return ov.classes(ov.ancestors(t.cites(spark, d))).select("owner", "rep", "size", "copies")
