@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillgraph.operators import classify as cl
 from quillgraph.operators import community as cm
 from quillgraph.operators import embedding as em
 from quillgraph.operators import quality as qu
@@ -516,6 +517,46 @@ def _(spark, d):
     return em.kmeans(em.combine_vectors(em.fast_rp(_vector_graph(spark, d), _DIM), t.vectors(spark, d)), K, 1, LLOYD)
 
 
+_STEPS, _RATE, _PENALTY, _BATCHES = 4, 2.0, 0.001, 2
+
+
+def _softmax_sql() -> str:
+    """Gradient steps over the node vectors, unrolled; c is the prediction of every article."""
+    steps = [_rp_steps("SELECT id FROM articles", "SELECT src, dst, 1 AS w FROM cites"), "x AS MATERIALIZED (SELECT id, list_append(x, 1.0) AS x FROM (" + _NODE_VECTORS + "))",
+             "known AS MATERIALIZED (SELECT x.id, x.x, a.known_category::BIGINT AS k FROM x JOIN articles a USING (id) WHERE a.known_category IS NOT NULL)",
+             f"w0 AS MATERIALIZED (SELECT DISTINCT k, list_resize([]::DOUBLE[], {_DIM + 1}, 0.0::DOUBLE) AS w FROM known)"]
+    for i in range(_STEPS):
+        steps.append(f"""l{i} AS MATERIALIZED (SELECT r.id, r.x, r.k AS truth, w.k, list_dot_product(r.x, w.w) AS l FROM known r CROSS JOIN w{i} w WHERE r.id % {_BATCHES} = {i % _BATCHES}),
+q{i} AS MATERIALIZED (SELECT *, exp(l - max(l) OVER (PARTITION BY id)) AS e FROM l{i}),
+o{i} AS MATERIALIZED (SELECT id, x, k, e / sum(e) OVER (PARTITION BY id) - CASE WHEN k = truth THEN 1 ELSE 0 END AS off FROM q{i}),
+g{i} AS MATERIALIZED (SELECT k, pos, sum(off * v) / (SELECT count(DISTINCT id) FROM l{i}) AS g FROM (SELECT k, off, unnest(range({_DIM + 1})) AS pos, unnest(x) AS v FROM o{i}) GROUP BY k, pos),
+w{i + 1} AS MATERIALIZED (SELECT k, list(v - {_RATE} * (g + CASE WHEN pos < {_DIM} THEN {_PENALTY} * v ELSE 0 END) ORDER BY pos) AS w FROM
+  (SELECT w.k, unnest(range({_DIM + 1})) AS pos, unnest(w.w) AS v FROM w{i} w) JOIN g{i} USING (k, pos) GROUP BY k)""")
+    steps.append(f"""ll AS MATERIALIZED (SELECT x.id, w.k, list_dot_product(x.x, w.w) AS l FROM x CROSS JOIN w{_STEPS} w),
+c AS MATERIALIZED (SELECT id, k AS predicted, e / sum(e) OVER (PARTITION BY id) AS probability, rk FROM
+  (SELECT id, k, exp(l - max(l) OVER (PARTITION BY id)) AS e, row_number() OVER (PARTITION BY id ORDER BY round(l, 9) DESC, k) AS rk FROM ll))""")
+    return "WITH " + ",\n".join(steps)
+
+
+def _classified(spark, d):
+    a = t.articles(spark, d)
+    rows = em.fast_rp(citation_graph(spark, d), _DIM).join(a.select("id", F.col("known_category").cast("bigint").alias("label")), "id")
+    return cl.predict(rows, cl.fit(rows, _STEPS, _RATE, _PENALTY, _BATCHES))
+
+
+@query("node_classification", "2.13h C7", _softmax_sql() + "\nSELECT id, predicted, round(probability, 6) AS probability FROM c WHERE rk = 1")
+def _(spark, d):
+    return _classified(spark, d).select("id", "predicted", r6("probability").alias("probability"))
+
+
+@query("node_classification_accuracy", "2.13h CM6", _softmax_sql() + """
+SELECT 0 AS run, a.category, count(*) AS total, CAST(sum(CASE WHEN c.predicted = a.category THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+  round(sum(CASE WHEN c.predicted = a.category THEN 1 ELSE 0 END) / count(*), 6) AS accuracy FROM articles a JOIN c USING (id) WHERE c.rk = 1 AND a.year = 2000 GROUP BY a.category""")
+def _(spark, d):
+    found = _classified(spark, d).select("id", F.col("predicted").alias("consensus"), F.lit(0).alias("run"))
+    return qu.accuracy(t.articles(spark, d).join(found, "id"), t.EVALUATION_YEAR).withColumn("accuracy", r6("accuracy"))
+
+
 _COS = "coalesce(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 0), 0)"
 
 
