@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillgraph.operators import balls as ba
 from quillgraph.operators import centrality as ce
 from quillgraph.operators import components as co
 from quillgraph.operators import paths as pa
@@ -179,6 +180,16 @@ def _(spark, d):
     return pa.harmonic(citation_graph(spark, d)).select("id", r6("harmonic").alias("harmonic"))
 
 
+@query("harmonic_sketched_within_bound", "G12", "SELECT count(*) AS nodes, true AS root_mean_square_within, true AS all_within FROM articles")
+def _(spark, d):
+    """Estimated against exact values of every node: their errors relative to the exact value, against one and five standard errors."""
+    g = citation_graph(spark, d)
+    both = pa.harmonic(g).join(ba.harmonic_sketched(g).withColumnRenamed("harmonic", "estimate"), "id")
+    error = F.abs(F.col("estimate") - F.col("harmonic")) / F.greatest("harmonic", F.lit(1e-9))
+    bound = ba.standard_error()
+    return both.agg(F.count("*").alias("nodes"), (F.sqrt(F.avg(error * error)) <= bound).alias("root_mean_square_within"), (F.max(error) <= 5 * bound).alias("all_within"))
+
+
 def _betweenness_sql(levels: int, sources: str, both: bool = False) -> str:
     e = "SELECT src, dst FROM cites" + (" UNION SELECT dst, src FROM cites" if both else "")
     steps = [f"e AS MATERIALIZED ({e})", f"f0 AS MATERIALIZED (SELECT id AS s, id AS v, 1.0::DOUBLE AS c FROM ({sources}))",
