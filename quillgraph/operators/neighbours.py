@@ -34,18 +34,26 @@ def planes(bands: int, bits: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2, (bands * bits, dim)) * 2 - 1
 
 
-def unit_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """id, v: vectors of length one."""
-    wide = vectors.select("id", F.transform(column, lambda x: x.cast("double")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return wide.withColumn("norm", norm).filter("norm > 0").select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
-
-
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column of equally long vectors as rows of a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def unit_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """id, v: vectors of length one. (As an expression, Catalyst would put the norm into the function of each element.)"""
+    wide = vectors.filter(F.size(column) > 0).select("id", F.transform(column, lambda x: x.cast("double")).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(1))
+                norm = np.sqrt((x * x).sum(axis=1))
+                keep = norm > 0
+                yield pa.record_batch([batch.column(0).filter(pa.array(keep)), pa.array(list(x[keep] / norm[keep, None]), pa.list_(pa.float64()))], names=["id", "v"])
+
+    return wide.mapInArrow(run, wide.schema)
+
+
 def _coded(unit: DataFrame, bands: int, bits: int, seed: int) -> DataFrame:
     """id, v, codes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

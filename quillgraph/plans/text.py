@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
 from quillgraph.operators import terms as te
+from quillgraph.operators import topic_rounds as tr
 from quillgraph.operators import topics as to
 from quillgraph.operators.explore import threshold_profile
 from quillgraph.plans.explore import r6
@@ -131,6 +132,44 @@ def _(spark, d):
     return whole.join(to.top_topics(topics).select("id", F.size("topics").alias("kept")), "id")
 
 
+_K, _ROUNDS, _ALPHA, _BETA = 8, 2, 0.1, 0.01
+
+
+def _topic_sql() -> str:
+    """Rounds of the topic model over long tables w (word, k, v) and d (id, k, v), unrolled."""
+    steps = [f"""{_TOK}, v AS (SELECT w, count(DISTINCT id) AS df FROM tok GROUP BY w HAVING count(DISTINCT id) >= 10),
+e AS MATERIALIZED (SELECT id, w AS word, count(*) * ln(((SELECT count(*) FROM docs WHERE language = 'en') + 1) / (df + 1)) AS value FROM tok JOIN v USING (w) GROUP BY id, w, df HAVING value > 0),
+size AS (SELECT count(DISTINCT word) AS n FROM e), k AS (SELECT unnest(range({_K})) AS k),
+u AS (SELECT word, n, k, 1 + ('0x' || substr(md5(concat(word, '-', k, '-', 0)), 1, 4))::INT / 65536.0::DOUBLE AS u FROM (SELECT word, sum(value) AS n FROM e GROUP BY word) CROSS JOIN k),
+w0 AS MATERIALIZED (SELECT word, k, n * u / sum(u) OVER (PARTITION BY word) AS v FROM u),
+d0 AS MATERIALIZED (SELECT id, k, n / {_K} AS v FROM (SELECT id, sum(value) AS n FROM e GROUP BY id) CROSS JOIN k)"""]
+    for i in range(_ROUNDS):
+        steps.append(f"""t{i} AS (SELECT k, sum(v) + {_BETA} * any_value(n) AS v FROM w{i} CROSS JOIN size GROUP BY k),
+x{i} AS MATERIALIZED (SELECT e.id, e.word, e.value, w.k, (w.v + {_BETA}) * (d.v + {_ALPHA}) / t.v AS x FROM e JOIN w{i} w ON w.word = e.word JOIN d{i} d ON d.id = e.id AND d.k = w.k JOIN t{i} t ON t.k = w.k),
+g{i} AS MATERIALIZED (SELECT id, word, k, value * x / sum(x) OVER (PARTITION BY id, word) AS v FROM x{i}),
+w{i + 1} AS MATERIALIZED (SELECT word, k, sum(v) AS v FROM g{i} GROUP BY word, k), d{i + 1} AS MATERIALIZED (SELECT id, k, sum(v) AS v FROM g{i} GROUP BY id, k)""")
+    return "WITH " + ",\n".join(steps)
+
+
+def _topic_rounds(spark, d):
+    tokens = english_tokens(spark, d)
+    return tr.fit(to.idf_terms(te.term_counts(tokens), tokens, 10), _K, _ROUNDS, _ALPHA, _BETA)
+
+
+@query("document_topics_by_rounds", "TX7 TX9", _topic_sql() + f"""
+SELECT id, k::INT AS topic, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, k) AS rk FROM
+ (SELECT id, k, (v + {_ALPHA}) / sum(v + {_ALPHA}) OVER (PARTITION BY id) AS weight FROM d{_ROUNDS})) WHERE rk <= 3""")
+def _(spark, d):
+    return tr.topic_shares(_topic_rounds(spark, d)[1], _ALPHA).select("id", "topic", r6("weight").alias("weight"))
+
+
+@query("topic_keywords_by_rounds", "TX7 TX8", _topic_sql() + f"""
+SELECT k::INT AS topic, word, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(weight, 12) DESC, word) AS rk FROM
+ (SELECT word, k, (v + {_BETA}) / sum(v + {_BETA}) OVER (PARTITION BY k) AS weight FROM w{_ROUNDS})) WHERE rk <= 5""")
+def _(spark, d):
+    return tr.topic_words(_topic_rounds(spark, d)[0], _BETA).select("topic", "word", r6("weight").alias("weight"))
+
+
 @query("document_vectors", "TX17")
 def _(spark, d):
     return to.document_vectors(english_tokens(spark, d), WIDTH).select("id", F.posexplode("embedding").alias("dim", "value"))
