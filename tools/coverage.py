@@ -27,6 +27,7 @@ def main() -> None:
     for e in REGISTRY.values():
         for c in e.covers:
             by_id.setdefault(c, []).append(e.name if e.sql else f"{e.name} (no SQL)")
+    ids += sorted(c for c in by_id if c.startswith("2.13"))
     lines = ["# Coverage of the operator inventory", "", f"{len(REGISTRY)} queries, {sum(e.sql is not None for e in REGISTRY.values())} with SQL.",
              "", "| id | queries |", "| --- | --- |"]
     for i in ids:
