@@ -14,7 +14,7 @@ SLOW = {
     "pagerank_weighted", "top_ranked_articles", "article_topic_rank", "hits", "eigenvector", "articlerank", "closeness_wasserman_faust",
     "harmonic", "betweenness", "betweenness_undirected", "strong_components_first_year", "strong_component_diversity", "strong_component_diversity_whole_graph",
     "label_propagation_weighted", "label_propagation_unseeded", "label_propagation_topics", "label_propagation_topics_weighted",
-    "speaker_listener", "louvain", "louvain_weighted", "louvain_topics", "leiden", "modularity_optimization", "kmeans_node_embedding",
+    "speaker_listener", "louvain", "louvain_weighted", "louvain_topics", "leiden", "leiden_communities_connected", "modularity_optimization", "kmeans_node_embedding",
     "kmeans_runs", "kmeans_text_and_node_embedding", "word_betweenness", "word_betweenness_unweighted", "brand_score",
     "topic_keywords", "document_topics", "brand_score_top_ten_of_year", "longest_shortest_paths", "distances_from_category_leaders", "nss", "diameter",
 }
