@@ -6,12 +6,16 @@ its ancestors (elements, roles, class and id words), link share, length and punc
 same parent, get smoothness edges that weaken with their distance in the tree. The minimum cut separates content from
 boilerplate, so a short block between paragraphs follows them, and a menu next to them does not.
 
-Pages are independent: a map without a shuffle, inside Arrow batches. Work is about linear in a page: a single scan for tags, edges
-in proportion to blocks, and a flow that starts from the difference of both terminal capacities.
+Pages are independent: a map without a shuffle, inside Arrow batches. Reading a page is linear in its length, however deep or
+broken its markup: no tag is searched twice, open elements are found by name, and what their ancestors say is summed from the top down.
+Edges are in proportion to blocks; the flow starts from the difference of both terminal capacities, so it only has to move what
+neighbours of unlike sign share.
 
 Defined cases: null or empty html has empty text. Broken markup is read as browsers do in the main: a block-level tag ends an open
-paragraph, an end tag closes all inside it, raw elements without an end reach to the end. Equal blocks stay as often as they occur.
-Repeated rows get the same answer. Extra columns pass through `extract`. An empty table gives an empty result.
+paragraph, an end tag closes all inside it, scripts, styles, titles and text areas without an end reach to the end of the page, while of
+other skipped elements without an end only the start tag is skipped. `<` without a `>` behind it is text. Equal blocks stay as often as
+they occur. Repeated rows get the same answer. Extra columns pass through `extract`; one named as a result column (in any letter case)
+gives way to it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -26,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-    r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>""", re.S)
-_ATTR = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden|aria-label)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# Starts of tags; quoted values may hold ">". A tag whose quotes don't pair up ends at its first ">".
+_START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_SPECIAL = re.compile(r"""[>"']""")
+_ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+_NAMES = frozenset("class id role itemprop style hidden aria-hidden".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 # Elements of the HTML vocabulary by their role here.
 RAW = frozenset("script style noscript template textarea title svg iframe object canvas math select audio video".split())
+#: Of these, the ones that reach to the end of the page if they have no end.
+ENDLESS = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
@@ -48,6 +57,8 @@ BOILER_WORDS = frozenset(
     "overlay newsletter subscribe subscription signup signin login register share sharing social sidebar side rail widget widgets related recommended recommendations "
     "menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comment comments commentlist respond reply replies "
     "disqus discussion feedback copyright legal disclaimer search skip form outbrain taboola teaser trending popular".split())
+#: Inside an article these may also name a part of it: they count unless the part is long and has few links.
+AMBIGUOUS = frozenset("discussion legal feedback notice notices search form related popular trending side promotion registration".split())
 #: Not boilerplate inside an article: its own head.
 ARTICLE_PARTS = frozenset("header masthead banner".split())
 CONTENT_WORDS = frozenset("article content entry post story main body text paragraph".split())
@@ -57,16 +68,30 @@ W_LINKS, W_STOP, W_LONG, W_HEADING, W_RIGHTS, W_PAGE_HEADER = -4.0, 0.7, 0.5, 0.
 SMOOTH_NEXT, SMOOTH_PARENT, SCALE = 1.2, 0.8, 1000
 #: Where blocks that score as content hold less than LEAST of a page's unlinked text, a wrapper with more than MOST of it is not boilerplate.
 MOST, LEAST = 0.6, 0.05
+#: A part is long above so many code points, and has few links below such a share of linked text.
+LONG, FEW_LINKS = 300, 0.2
 
 
 class Node:
-    """An open element: its parent, depth, score for the blocks inside, and what its class words said."""
+    """An open element, its parent, what it says of the blocks inside, and the sums of what its ancestors say.
 
-    __slots__ = ("name", "parent", "depth", "score", "by_class", "main", "link", "inside", "hidden", "held")
+    holder: nearest block-level element, itself included. depth: in all elements. level: in block-level ones.
+    bad, best, hidden: of it and its ancestors; the first two are set by `_settle`.
+    """
 
-    def __init__(self, name: str, parent: "Node | None", score: float = 0.0, by_class: float = 0.0, hidden: float = 0.0):
-        self.name, self.parent, self.score, self.by_class, self.hidden, self.main, self.held = name, parent, score, by_class, hidden, False, 0
+    __slots__ = ("name", "parent", "depth", "level", "holder", "score", "by_class", "doubtful", "main", "link", "inside", "own_hidden", "hidden", "held",
+                 "linked", "bad", "best")
+
+    def __init__(self, name: str, parent: "Node | None", score: float = 0.0, by_class: float = 0.0, hidden: float = 0.0, doubtful: bool = False):
+        self.name, self.parent, self.score, self.by_class, self.doubtful, self.main = name, parent, score, by_class, doubtful, False
+        self.held = self.linked = 0
+        self.bad = self.best = 0.0
+        block = parent is None or name in BLOCK
+        self.holder = self if block else parent.holder
         self.depth = parent.depth + 1 if parent else 0
+        self.level = parent.level + block if parent else 0
+        self.own_hidden = hidden
+        self.hidden = parent.hidden + hidden if parent else hidden
         self.link = name == "a" or bool(parent and parent.link)
         self.inside = name in ("article", "main") or bool(parent and parent.inside)
 
@@ -78,13 +103,20 @@ class Block:
         self.text, self.linked, self.node = text, linked, node
 
 
-def _scores(name: str, attrs: str, inside: bool) -> tuple[float, float, float]:
-    """Score of an element for what it holds: by its kind, by its class and id words, and for being hidden. inside: it is in an article."""
+def _scores(name: str, attrs: str, inside: bool) -> tuple[float, float, float, bool]:
+    """Score of an element for what it holds: by its kind, by its class and id words, for being hidden, and whether its words are ambiguous.
+
+    inside: it is in an article.
+    """
     own = W_BOILER if name in BOILER_TAGS else W_MAIN if name in ("article", "main") else W_PAGE_HEADER if name == "header" and not inside else 0.0
     by_class = hidden = 0.0
+    doubtful = False
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), (m[2] or "").strip("\"'")
+            key = m[1].lower()
+            if key not in _NAMES:
+                continue
+            value = (m[2] or "").strip("\"'")
             if key == "role":
                 role = value.lower()
                 own += W_BOILER if role in BOILER_ROLES else W_MAIN if role in ("main", "article") else 0.0
@@ -94,138 +126,195 @@ def _scores(name: str, attrs: str, inside: bool) -> tuple[float, float, float]:
                 own += W_MAIN
             elif key in ("class", "id") and name not in ("html", "body"):
                 words = {w.lower() for w in _WORDS.findall(value)}
-                if words & (BOILER_WORDS - ARTICLE_PARTS if inside else BOILER_WORDS):
+                bad = words & (BOILER_WORDS - ARTICLE_PARTS if inside else BOILER_WORDS)
+                if bad:
+                    doubtful = inside and bad <= AMBIGUOUS and (doubtful or by_class >= 0)
                     by_class = W_BOILER_CLASS
                 elif words & CONTENT_WORDS and by_class >= 0:
                     by_class = W_CONTENT_CLASS
-    return own, by_class, hidden
+    return own, by_class, hidden, doubtful
+
+
+class _Tags:
+    """The tags of a page in order, each found by one search: (start, end, is an end tag, name, attributes)."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.ends: dict[int, int] | None = None
+        self.specials: list[int] = []
+        self.no_end: set[str] = set()
+
+    def _build_ends(self) -> None:
+        """For each of > " ' as the next special character of a tag: where the tag ends, -1 if never. Right to left, once a page."""
+        page, self.ends = self.page, {}
+        self.specials = [m.start() for m in _SPECIAL.finditer(page)]
+        ahead = {'"': -1, "'": -1}  # number in `specials` of the next quote of each kind
+        ends = [-1] * (len(self.specials) + 1)
+        for i in range(len(self.specials) - 1, -1, -1):
+            c = page[self.specials[i]]
+            if c == ">":
+                ends[i] = self.specials[i]
+            else:
+                ends[i] = ends[ahead[c] + 1] if ahead[c] >= 0 else -1
+                ahead[c] = i
+            self.ends[self.specials[i]] = ends[i]
+
+    def _close(self, at: int) -> int:
+        """Where a tag ends whose attributes begin at `at`; there is a ">" behind it."""
+        if self.ends is None:
+            m = _REST.match(self.page, at)
+            if m:
+                return m.end() - 1
+            self._build_ends()
+        i = bisect_left(self.specials, at)
+        end = self.ends[self.specials[i]]
+        return end if end >= 0 else self.page.index(">", at)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        m = _START.search(self.page, at) if at <= self.last or self.page.find("<!--", at) >= 0 else None
+        while m and m.end() > self.last:  # nothing closes any more: only a comment still counts
+            if m[0] == "<!--":
+                break
+            m = re.compile("<!--").search(self.page, m.end())
+        if not m:
+            return None
+        start, after = m.start(), m.end()
+        if m[0] == "<!--":
+            end = self.page.find("-->", after)
+            return start, end + 3 if end >= 0 else len(self.page), False, "", ""
+        if not m[2]:
+            return start, self.page.index(">", after) + 1, False, "", ""
+        end = self._close(after)
+        return start, end + 1, bool(m[1]), m[2].lower(), self.page[after:end]
+
+    def after_end(self, name: str, at: int) -> int | None:
+        """Behind the end tag of a skipped element, None if it has none; the page is searched to its end once a name."""
+        if name not in self.no_end:
+            m = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.page, at)
+            if m and m.end() <= self.last:
+                return self.page.index(">", m.end()) + 1
+            self.no_end.add(name)
+        return None
 
 
 def blocks_of(page: str) -> list[Block]:
     root = Node("", None)
     top, found, pieces, linked = root, [], [], 0
+    nodes, opened = [root], {}  # all elements, parents first; the open ones by name, outermost first
     article_seen = False
     at, n = 0, len(page)
+    tags = _Tags(page)
 
     def flush() -> None:
         nonlocal pieces, linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                holder = top
-                while holder.parent and holder.name not in BLOCK:
-                    holder = holder.parent
-                found.append(Block(text, linked, holder))
+                found.append(Block(text, linked, top.holder))
             pieces, linked = [], 0
 
+    def close(node: Node) -> None:
+        """End this open element and all inside it."""
+        nonlocal top
+        while top is not node.parent:
+            opened[top.name].pop()
+            top = top.parent
+
     while at < n:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else n
+        tag = tags.next(at)
+        stop = tag[0] if tag else n
         if stop > at:
             piece = page[at:stop]
             pieces.append(piece)
             if top.link:
                 linked += len(piece.strip())
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        name = m["name"] or m["name2"]
+        _, at, is_end, name, attrs = tag
         if not name:
             continue
-        name = name.lower()
-        if m["end"] or m["end2"]:
+        if is_end:
             if name in BLOCK:
                 flush()
-            node = top
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root and (name in BLOCK or _same_block(top, node)):
-                top = node.parent
+            if opened.get(name):
+                node = opened[name][-1]
+                if name in BLOCK or top.level == node.level:
+                    close(node)
             continue
-        attrs = m["attrs"] if m["name"] else m["attrs2"]
         if name in RAW:
             if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                end = tags.after_end(name, at)
+                at = end if end is not None else n if name in ENDLESS else at
             pieces.append(" ")
             continue
         if name in BLOCK:
             flush()
-            node = top  # an open paragraph or heading ends where a block begins
-            while node is not root and node.name not in BLOCK:
-                node = node.parent
+            node = top.holder  # an open paragraph or heading ends where a block begins
             if node.name == "p" or node.name in HEADINGS and name in HEADINGS:
-                top = node.parent
+                close(node)
         if name in CLOSES:
             ends, within = CLOSES[name]
-            node, last = top, None
-            while node is not root and node.name not in within:
-                if node.name in ends:
-                    last = node
-                node = node.parent
-            if last is not None:
-                top = last.parent
+            floor = max((opened[w][-1].depth for w in within if opened.get(w)), default=0)
+            outer = [opened[e][i] for e in ends if opened.get(e) for i in [bisect_right(opened[e], floor, key=lambda x: x.depth)] if i < len(opened[e])]
+            if outer:
+                close(min(outer, key=lambda x: x.depth))
         if name in VOID:
             pieces.append(" ")
             continue
         top = Node(name, top, *_scores(name, attrs, top.inside))
+        nodes.append(top)
+        opened.setdefault(name, []).append(top)
         if name in ("article", "main") and top.by_class >= 0 and (name == "main" or not article_seen):
             article_seen = True
             node = top.parent
-            while node is not root:  # a wrapper of the article isn't a menu, whatever its class says
+            while node is not root and not node.main:  # a wrapper of the article isn't a menu, whatever its class says
                 node.main = True
                 node = node.parent
     flush()
+    for b in found:
+        b.node.held += len(b.text)
+        b.node.linked += min(b.linked, len(b.text))
+    for node in reversed(nodes[1:]):
+        node.parent.held += node.held
+        node.parent.linked += node.linked
+        if node.doubtful and node.held > LONG and node.linked < FEW_LINKS * node.held:
+            node.by_class = 0.0
+    _settle(nodes)
     if not article_seen:
-        _lift_wrappers(found)
+        _lift_wrappers(found, nodes)
     return found
 
 
-def _lift_wrappers(blocks: list[Block]) -> None:
+def _settle(nodes: list[Node]) -> None:
+    """Sums over ancestors: every sign of boilerplate counts (a wrapper's only if it is hidden), the strongest sign of content once."""
+    for node in nodes[1:]:
+        up = node.parent
+        bad = 0.0 if node.main else min(0.0, node.score) + min(0.0, node.by_class)
+        node.bad = up.bad + bad + node.own_hidden
+        node.best = max(up.best, node.score, node.by_class)
+
+
+def _lift_wrappers(blocks: list[Block], nodes: list[Node]) -> None:
     """A wrapper of most of the unlinked text isn't a menu if next to nothing else is content; what is hidden stays as it is."""
     total = clear = 0
+    for node in nodes:
+        node.held = 0
     for b in blocks:
-        size = 0 if _hidden(b.node) else max(0, len(b.text) - b.linked)
+        size = 0 if b.node.hidden else max(0, len(b.text) - b.linked)
         total += size
         clear += size if score(b) > 0 else 0
-        node = b.node
-        while node.parent is not None:
-            node.held += size
-            node = node.parent
+        b.node.held += size
     if clear >= LEAST * total:
         return
-    for b in blocks:
-        node = b.node
-        while node.parent is not None:
-            node.main = node.main or node.held > MOST * total
-            node = node.parent
-
-
-def _hidden(node: Node) -> bool:
-    while node is not None:
-        if node.hidden:
-            return True
-        node = node.parent
-    return False
-
-
-def _same_block(top: Node, node: Node) -> bool:
-    while top is not node:
-        if top.name in BLOCK:
-            return False
-        top = top.parent
-    return True
+    for node in reversed(nodes[1:]):
+        node.parent.held += node.held
+        node.main = node.main or node.held > MOST * total
+    _settle(nodes)
 
 
 def score(b: Block) -> float:
     """Log odds that the block is content."""
-    s, best, node = W_BASE, 0.0, b.node
-    while node.parent is not None:  # the strongest sign of content counts once, every sign of boilerplate counts
-        own, by_class = (max(0.0, x) if node.main else x for x in (node.score, node.by_class))
-        s += min(0.0, own) + min(0.0, by_class) + node.hidden
-        best = max(best, own, by_class)
-        node = node.parent
-    s += best
+    s = W_BASE + b.node.bad + b.node.best
     size = len(b.text)
     s += W_PARAGRAPH * (b.node.name in ("p", "blockquote", "pre")) + W_HEADING * (b.node.name in HEADINGS)
     s += W_LINKS * min(1.0, b.linked / max(1, size)) + W_STOP * (b.text[-1] in ".!?:;\"'”»…。！？") + W_LONG * min(4.0, math.log1p(size / 40))
@@ -235,13 +324,13 @@ def score(b: Block) -> float:
 
 
 def _apart(a: Node, b: Node) -> int:
-    """Steps between two elements over their nearest common ancestor."""
+    """Steps between two block-level elements over their nearest common one; what is inline between them doesn't count."""
     steps = 0
     while a is not b:
-        if a.depth >= b.depth:
-            a = a.parent
+        if a.level >= b.level:
+            a = a.parent.holder
         else:
-            b = b.parent
+            b = b.parent.holder
         steps += 1
     return steps
 
@@ -327,7 +416,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_column: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """The columns of `pages` but the html, plus the main text and its number of code points."""
-    kept = [c for c in pages.columns if c != html_column]
+    kept = [c for c in pages.columns if c != html_column and c.lower() not in (text.lower(), n_chars.lower())]
     frame = pages.select(html_column, *kept)
     schema = frame.select(*kept, F.lit("").alias(text), F.lit(0).cast("bigint").alias(n_chars)).schema
 
