@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quillgraph.operators.graph import NATURAL, REVERSE, UNDIRECTED, Adjacency, Graph, degrees, restrict_edges
 from quillgraph.session import cut, forget
@@ -18,71 +21,134 @@ def _spread_min(adjacency: Adjacency, state: DataFrame) -> DataFrame:
     return merged.select("id", "label", (F.col("label") < F.col("old")).alias("moved"))
 
 
-def weak_components(graph: Graph) -> DataFrame:
-    """id, component (least id of the part).
+def _least_labels(adjacency: Adjacency, state: DataFrame) -> DataFrame:
+    """id, label: the least label among those of all nodes that reach a node along the edges. Labels must be node ids, and `state` a stored table.
 
-    Least labels spread along the edges; after each round labels jump to the label of their label, so
-    long chains shorten geometrically.
+    After each round labels jump to the label of their label, which reaches the node as well, so long chains shorten
+    geometrically.
     """
-    adjacency = Adjacency(graph.oriented(UNDIRECTED).select("src", "dst"), "src")
-    state = cut(graph.nodes.select("id", F.col("id").alias("label")))
     while True:
         spread = cut(_spread_min(adjacency, state))
         forget(state)
+        if spread.filter("moved").isEmpty():
+            return spread.select("id", "label")
         roots = spread.select(F.col("label").alias("id")).distinct()
         jump = roots.join(spread.select("id", F.col("label").alias("next")), "id").filter("next < id").select(
             F.col("id").alias("label"), "next")
-        moved = not spread.filter("moved").isEmpty()
-        if not moved:
-            return spread.select("id", F.col("label").alias("component"))
         state = cut(spread.join(jump, "label", "left").select("id", F.coalesce("next", "label").alias("label")))
         forget(spread)
 
 
+def _own_labels(nodes: DataFrame) -> DataFrame:
+    return cut(nodes.select("id", F.col("id").alias("label")))
+
+
+def weak_components(graph: Graph) -> DataFrame:
+    """id, component (least id of the part)."""
+    adjacency = Adjacency(graph.oriented(UNDIRECTED).select("src", "dst"), "src")
+    return _least_labels(adjacency, _own_labels(graph.nodes)).withColumnRenamed("label", "component")
+
+
+#: Trimming goes on by itself while it takes away more than this share of the nodes.
+TRIM_SHARE = 0.1
+
+
+def _neighbourhoods(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, ins, outs, before (the one in-neighbour, if there is one), after. Edges are distinct and without loops."""
+    none = F.lit(None).cast(nodes.schema["id"].dataType)
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("src").alias("id"), none.alias("before"), F.col("dst").alias("after")),
+        F.struct(F.col("dst").alias("id"), F.col("src").alias("before"), none.alias("after")))).alias("e")).select("e.*")
+    alone = nodes.select("id", none.alias("before"), none.alias("after"))
+    return alone.unionByName(ends).groupBy("id").agg(
+        F.count("before").alias("ins"), F.count("after").alias("outs"), F.min("before").alias("before"), F.min("after").alias("after"))
+
+
+def _chains(links: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chains of nodes with one way in and one way out, by pointer jumping: as many passes as the logarithm of the longest.
+
+    Returns the members (id, tail: last link of its chain), the chains (tail, enter: node before the first link, leave: node
+    after the last), and the rings that nothing enters (id, root: least id of the ring).
+    """
+    ids = links.select("id")
+    state = cut(links.select("id", "before", F.col("id").alias("tail"), F.col("after").alias("to"), F.col("id").alias("least"), F.lit(True).alias("open")))
+    for _ in range(n.bit_length() + 1):  # pointers of a pass are twice as long as before; what is open after the last one goes round
+        ahead = state.select(F.col("id").alias("to"), F.col("tail").alias("tail2"), F.col("to").alias("to2"), F.col("least").alias("least2"),
+                             F.col("open").alias("open2"))
+        step = state.filter("open").join(ahead, "to", "left").select(
+            "id", "before", F.coalesce("tail2", "tail").alias("tail"), F.coalesce("to2", "to").alias("to"), F.least("least", "least2").alias("least"),
+            F.coalesce("open2", F.lit(False)).alias("open"))
+        longer = cut(state.filter("not open").unionByName(step))
+        forget(state)
+        state = longer
+        if state.filter("open").isEmpty():
+            break
+    ended = state.filter("not open")
+    first = ended.join(ids.withColumnRenamed("id", "before"), "before", "left_anti")
+    return (ended.select("id", "tail"), first.select("tail", F.col("before").alias("enter"), F.col("to").alias("leave")),
+            state.filter("open").select("id", F.col("least").alias("root")))
+
+
 def strong_components(graph: Graph) -> DataFrame:
     """id, component (least id of the part).
 
-    Per round: trim nodes without active in- or out-edges; spread the least id forward (colour); walk
-    backward from each colour's root inside its colour; what is met is one component.
+    A round first takes away nodes without a way in or out, and whole chains: an edge from the node before a chain to the one behind it
+    stands for the chain, whose links belong to the component of both if that is one and the same, and else to none. Then every node
+    learns the least node that reaches it, and inside the nodes with the same answer the least node that it reaches. Where both
+    agree the component is found; edges between nodes with different answers go. So each round finds a component in every part of
+    the graph at once. Integer ids are scrambled, so that parts split at random places and rounds follow the logarithm
+    of the number of components in a row; the hash of one 64-bit number maps them one to one (other ids keep their order). Deep lattices without chains are trimmed by the labels.
     """
-    nodes = cut(graph.nodes.select("id"))
-    edges = cut(graph.edges.filter("src <> dst").select("src", "dst").distinct())
+    whole = isinstance(graph.nodes.schema["id"].dataType, IntegralType)
+    forth = (lambda c: F.xxhash64(F.col(c).cast("long")).alias(c)) if whole else F.col
+    nodes = cut(graph.nodes.select(forth("id")).distinct())
+    edges = cut(restrict_edges(graph.edges.filter("src <> dst").select(forth("src"), forth("dst")).distinct(), nodes))
     done: list[DataFrame] = []
+    chains: list[tuple[DataFrame, DataFrame]] = []
     while not nodes.isEmpty():
-        inner = nodes.join(edges.select(F.col("src").alias("id")), "id", "left_semi").join(
-            edges.select(F.col("dst").alias("id")), "id", "left_semi")
-        kept = cut(inner)
-        single = nodes.join(kept, "id", "left_anti").select("id", F.col("id").alias("component"))
-        trimmed = cut(single)
-        if not trimmed.isEmpty():
-            done.append(trimmed)
-            nodes, edges = kept, cut(restrict_edges(edges, kept))
-            continue
-        forward = Adjacency(edges, "src")
-        colour = cut(nodes.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")))
-        while not colour.filter("moved").isEmpty():
-            colour = cut(_spread_min(forward, colour))
-        colours = colour.select("id", "label")
-        same = edges.join(colours.withColumnRenamed("id", "src").withColumnRenamed("label", "c1"), "src").join(
-            colours.withColumnRenamed("id", "dst").withColumnRenamed("label", "c2"), "dst").filter("c1 = c2")
-        backward = Adjacency(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "src")
-        found = cut(colours.withColumn("hit", F.col("id") == F.col("label")).withColumn("new", F.col("hit")))
-        while not found.filter("new").isEmpty():
-            sent = backward.attach(found.filter("new").select("id")).select(
-                F.col("dst").alias("id"), F.lit(None).cast(found.schema["label"].dataType).alias("label"),
-                F.lit(True).alias("hit"), F.lit(False).alias("was"))
-            held = found.select("id", "label", "hit", F.col("hit").alias("was"))
-            merged = held.unionByName(sent).groupBy("id").agg(
-                F.max("label").alias("label"), F.max("hit").alias("hit"), F.max("was").alias("was"))
-            found = cut(merged.select("id", "label", "hit", (F.col("hit") & ~F.col("was")).alias("new")))
-        part = found.filter("hit").select("id", F.col("label").alias("component"))
-        done.append(part)
-        nodes = cut(found.filter(~F.col("hit")).select("id"))
-        edges = cut(restrict_edges(edges, nodes))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        shape = cut(_neighbourhoods(nodes, edges))
+        trim, link = "ins = 0 or outs = 0", "ins = 1 and outs = 1"
+        total, trimmed, linked = shape.agg(F.count("*"), F.count_if(F.expr(trim)), F.count_if(F.expr(link))).first()
+        if trimmed:
+            done.append(shape.filter(trim).select("id", F.col("id").alias("root")))
+        if trimmed or linked:
+            kept = cut(shape.filter(f"not ({trim}) and not ({link})").select("id"))
+            bridges = edges
+            if linked:
+                members, spans, rings = _chains(shape.filter(link).select("id", "before", "after"), linked)
+                done.append(rings)
+                chains.append((members, spans))
+                bridges = edges.unionByName(spans.filter("enter <> leave").select(F.col("enter").alias("src"), F.col("leave").alias("dst")))
+            shorter = cut(restrict_edges(bridges, kept).distinct() if linked else restrict_edges(bridges, kept))
+            forget(nodes)
+            forget(edges)
+            nodes, edges = kept, shorter
+            if trimmed + linked > TRIM_SHARE * total:
+                continue
+        seen = _least_labels(Adjacency(edges, "src"), _own_labels(nodes))
+        ends = [seen.select(F.col("id").alias(end), F.col("label").alias(label)) for end, label in (("src", "c1"), ("dst", "c2"))]
+        inner = cut(edges.join(ends[0], "src").join(ends[1], "dst").filter("c1 = c2").select("src", "dst"))
+        reached = _least_labels(Adjacency(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "src"), _own_labels(nodes))
+        both = cut(seen.join(reached.withColumnRenamed("label", "least"), "id"))
+        done.append(both.filter("label = least").select("id", F.col("label").alias("root")))
+        rest = both.filter("label <> least")
+        ends = [rest.select(F.col("id").alias(end), F.col("least").alias(label)) for end, label in (("src", "c1"), ("dst", "c2"))]
+        forget(nodes)
+        forget(edges)
+        nodes = cut(rest.select("id"))
+        edges = cut(inner.join(ends[0], "src").join(ends[1], "dst").filter("c1 = c2").select("src", "dst"))
+        forget(inner)
+    if not done:
+        return graph.nodes.select("id", F.col("id").alias("component"))
+    roots = functools.reduce(DataFrame.unionByName, done)
+    for members, spans in reversed(chains):  # what a chain joins may be a link of a later one
+        of = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+        closed = spans.join(of("enter"), "enter").join(of("leave"), "leave").filter("enter_root = leave_root")
+        found = members.join(closed.select("tail", F.col("enter_root").alias("root")), "tail", "left")
+        roots = roots.unionByName(cut(found.select("id", F.coalesce("root", "id").alias("root"))))
+    names = graph.nodes.select("id", forth("id").alias("key")).distinct()
+    named = cut(roots.withColumnRenamed("id", "key").join(names, "key").select("id", "root"))
+    return named.join(named.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
 
 
 def component_summary(components: DataFrame, articles: DataFrame) -> DataFrame:
