@@ -9,6 +9,7 @@ from quillgraph.functions import text as tx
 from quillgraph.operators import terms as te
 from quillgraph.operators import topic_rounds as tr
 from quillgraph.operators import topics as to
+from quillgraph.operators import word_vectors as wv
 from quillgraph.operators.explore import threshold_profile
 from quillgraph.plans.explore import r6
 from quillgraph.plans.registry import query
@@ -180,6 +181,53 @@ def _(spark, d):
     return to.document_vectors(english_tokens(spark, d), WIDTH).select("id", F.size("embedding").alias("width"))
 
 
+_DIM, _NEGATIVES, _RATE = 8, 2, 2.0
+
+
+def _word_vector_sql() -> str:
+    """Examples ex (word, other, met, drawn), then rounds over long tables u and v (word, k, x), unrolled."""
+    number = "('0x' || substr(md5(concat({key}, '-', 0)), 1, {digits}))::BIGINT"
+    draw = number.format(key="word, '-', other, '-', j", digits=12)
+    steps = [f"""{_TOK}, voc AS MATERIALIZED (SELECT w AS word, count(*) AS n FROM tok GROUP BY w HAVING count(*) >= 5),
+near AS (SELECT a.w AS word, b.w AS other, count(*) AS n FROM (SELECT *, unnest([1, 2, 3, 4]) AS d FROM tok) a JOIN tok b ON a.id = b.id AND b.pos = a.pos + a.d
+ WHERE a.w <> b.w AND a.w IN (SELECT word FROM voc) AND b.w IN (SELECT word FROM voc) GROUP BY ALL),
+pr AS MATERIALIZED (SELECT word, other, sum(n)::DOUBLE AS met FROM (SELECT * FROM near UNION ALL SELECT other, word, n FROM near) GROUP BY ALL),
+sh AS (SELECT word, greatest(1, ceil(round(4 * count(*) OVER () * pow(n, 0.75) / sum(pow(n, 0.75)) OVER (), 6)))::BIGINT AS s FROM voc),
+sl AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY key) - 1 AS slot FROM
+ (SELECT word, {number.format(key="word, '-', j", digits=15)} AS key FROM (SELECT word, unnest(range(s)) AS j FROM sh))),
+dr AS (SELECT d.word, sl.word AS other, d.met AS drawn FROM
+ (SELECT word, met, {draw} % (SELECT count(*) FROM sl) AS slot FROM pr CROSS JOIN (SELECT unnest(range(1, {_NEGATIVES + 1})) AS j)) d JOIN sl ON sl.slot = d.slot),
+ex AS MATERIALIZED (SELECT word, other, sum(met) AS met, sum(drawn) AS drawn FROM
+ (SELECT word, other, met, 0.0::DOUBLE AS drawn FROM pr UNION ALL SELECT word, other, 0.0, drawn FROM dr) GROUP BY ALL),
+k AS (SELECT unnest(range({_DIM})) AS k)"""]
+    for name, column, side in (("u", "word", 0), ("v", "other", 1)):
+        steps.append(f"t{name} AS MATERIALIZED (SELECT {column} AS word, sum(met + drawn) AS t FROM ex GROUP BY ALL)")
+        first = "(" + f"('0x' || substr(md5(concat(word, '-', {side}, '-', k, '-', 0)), 1, 4))::INT" + f" / 65536.0::DOUBLE - 0.5) * 2 / sqrt({_DIM}::DOUBLE)"
+        steps.append(f"{name}0 AS MATERIALIZED (SELECT word, k, t, {first} AS x FROM t{name} CROSS JOIN k)")
+    for i in range(_ROUNDS):
+        steps.append(f"""z{i} AS (SELECT ex.word, ex.other, any_value(met) AS met, any_value(drawn) AS drawn, 1 / (1 + exp(-sum(u.x * v.x))) AS s
+ FROM ex JOIN u{i} u ON u.word = ex.word JOIN v{i} v ON v.word = ex.other AND v.k = u.k GROUP BY ex.word, ex.other),
+g{i} AS MATERIALIZED (SELECT word, other, {_RATE} * (met * (1 - s) - drawn * s) AS g FROM z{i}),
+u{i + 1} AS MATERIALIZED (SELECT u.word, u.k, u.t, u.x + m.x / u.t AS x FROM u{i} u JOIN (SELECT g.word, v.k, sum(g.g * v.x) AS x FROM g{i} g JOIN v{i} v ON v.word = g.other GROUP BY ALL) m
+ ON m.word = u.word AND m.k = u.k),
+v{i + 1} AS MATERIALIZED (SELECT v.word, v.k, v.t, v.x + m.x / v.t AS x FROM v{i} v JOIN (SELECT g.other, u.k, sum(g.g * u.x) AS x FROM g{i} g JOIN u{i} u ON u.word = g.word GROUP BY ALL) m
+ ON m.other = v.word AND m.k = v.k)""")
+    return "WITH " + ",\n".join(steps)
+
+
+@query("word_vector_examples", "TX17 TX11", _word_vector_sql() + "\nSELECT word, other, met, drawn FROM ex")
+def _(spark, d):
+    return wv.examples(english_tokens(spark, d), negatives=_NEGATIVES)
+
+
+@query("document_vectors_by_rounds", "TX17 TX18 F15", _word_vector_sql() + f"""
+SELECT docs.id, k.k::INT AS dim, round(coalesce(m.value, 0), 6) AS value FROM docs CROSS JOIN k LEFT JOIN
+ (SELECT tok.id, u.k, avg(u.x) AS value FROM tok JOIN u{_ROUNDS} u ON u.word = tok.w GROUP BY ALL) m ON m.id = docs.id AND m.k = k.k WHERE language = 'en'""")
+def _(spark, d):
+    vectors = wv.document_vectors(english_tokens(spark, d), _DIM, _ROUNDS, negatives=_NEGATIVES, rate=_RATE)
+    return vectors.select("id", F.posexplode("embedding").alias("dim", "value")).withColumn("value", r6("value"))
+
+
 # ---------------------------------------------------------------- word graphs
 
 @query("cooccurrence_by_year", "TX11 W4 F18", f"WITH {_COOC} SELECT year, first, second, weight, round(1.0 / weight, 6) AS inverse_weight FROM co")
