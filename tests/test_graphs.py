@@ -229,6 +229,20 @@ def test_majority_label(spark):
     assert table(cm.majority_label(df), value="consensus") == {1: 5, 2: 5, 3: 5, 4: -1, 5: None, 6: 4, 7: 4}
 
 
+def test_ordered_pair_counts_of_large_and_uneven_groups(spark):
+    """Groups below and above a part, ids that crowd into one part, repeated and null ids; sums over groups."""
+    rows = [("few", i, i % 3) for i in range(0, 90, 3)] + [("even", 7 * i, i % 4) for i in range(300)] + [(None, 1, 0), (None, 2, 1), ("few", None, 1)]
+    rows += [("crowd", i, i % 2) for i in range(400)] + [("crowd", 10**12, 5), ("few", 3, 9), ("few", 3, None)]
+    want = {}
+    for g, x, a in rows:
+        for h, y, b in rows:
+            if g is not None and g == h and x is not None and y is not None and x < y:
+                want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame([(1, *r) for r in rows], "run int, g string, id bigint, cluster int")
+    got = {(r["a"], r["b"]): r["pairs"] for r in qu.ordered_pair_counts(df, ["run", "g"], keep=["run"]).collect()}
+    assert got == want
+
+
 def test_shared_ancestors(spark):
     edges = spark.createDataFrame([(1, 100), (2, 100), (1, 101), (3, 101), (4, 102)], "src bigint, dst bigint")
     kept = spark.createDataFrame([(1, 0, 1), (2, 0, 1), (3, 0, 2), (4, 0, 2)], "id bigint, run int, cluster int")
