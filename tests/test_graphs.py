@@ -303,3 +303,10 @@ def test_fast_rp_is_repeatable_and_isolated_nodes_are_zero(make):
     g = make(TRIANGLES, nodes=[9])
     one, two = table(em.fast_rp(g, 8)), table(em.fast_rp(g, 8))
     assert one == two and one[9] == [0.0] * 8 and len(one[1]) == 8
+
+
+def test_cluster_flow_sends_no_node_table_to_all_tasks(spark):
+    edges, assigned = spark.range(9).selectExpr("id AS src", "id + 1 AS dst"), spark.range(10).selectExpr("id", "0 AS run", "id % 2 AS cluster")
+    plan = qu.cluster_flow(edges, assigned)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 2
+    assert sorted(map(tuple, qu.cluster_flow(edges, assigned).collect())) == [(0, 0, 1, 5), (0, 1, 0, 4)]
