@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,39 @@ def vectors_of(spark, x, first=0):
     return spark.createDataFrame([(first + i, None if v is None else [float(c) for c in v]) for i, v in enumerate(x)], "id bigint, embedding array<double>")
 
 
+def test_all_pairs_over_blocks(spark, monkeypatch):
+    """Queries stay distributed, ties go to the lesser id, and blocks don't show."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (60, 3)).tolist()
+    x[7] = x[8] = x[40]
+    df = vectors_of(spark, x)
+    for name in ("ROWS", "ASKED", "CELLS"):
+        monkeypatch.setattr(ne, name, 16)
+    got = {}
+    for r in ne.all_pairs(df, df.filter("id % 2 = 0"), 4).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    unit = {i: np.array(v, float) / np.linalg.norm(v) for i, v in enumerate(x) if any(v)}
+    want = {}
+    for i in unit:
+        if i % 2 == 0:
+            near = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j in unit if j != i)[:4]
+            want[i] = [(n + 1, j) for n, (_, j) in enumerate(near)]
+    assert {i: sorted(v) for i, v in got.items()} == want
+
+
+def test_neighbours_leave_tasks_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(ne, "CELLS", 50)
+    rows = [([(10 * b + i, [1.0, float(i)]) for i in range(10)],) for b in range(20)]
+    blocks = pa.record_batch([pa.array([r[0] for r in rows], pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float64()))])))], names=["rows"])
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([blocks])))
+
+    sizes = [b.num_rows for b in ne._nearest_in_blocks(Frame(), 5)]
+    assert sum(sizes) == 20 * 10 * 5 and max(sizes) <= 100
+
+
 def test_recall_of_neighbours(spark):
     vectors = t.vectors(spark, "/root/testdata/sf0.1")
     truth = ne.all_pairs(vectors, vectors, 10).select("id", "neighbour")
