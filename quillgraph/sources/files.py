@@ -60,11 +60,15 @@ def write_titles_tsv(df: DataFrame, path: str) -> None:
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType, partitions: int | None = None,
                key: str | None = None) -> DataFrame:
-    """Parquet with an explicit schema, spread over `partitions` by `key` when asked."""
+    """Parquet with an explicit schema, spread over `partitions` by `key` when asked.
+
+    A table that is read in more splits than that is spread over as many partitions as splits, so that no task's share grows with the table.
+    """
     df = spark.read.schema(schema).parquet(path)
-    if partitions and key:
-        return df.repartition(partitions, key)
-    return df.repartition(partitions) if partitions else df
+    if not partitions:
+        return df
+    parts = max(partitions, df.rdd.getNumPartitions())
+    return df.repartition(parts, key) if key else df.repartition(parts)
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:

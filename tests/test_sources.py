@@ -34,3 +34,17 @@ def test_short_and_null_texts_have_no_language(spark):
     grams = trigrams(docs)
     got = {r["id"]: r["detected"] for r in detect_language(docs, grams, language_profiles(grams)).collect()}
     assert got == {1: "en", 4: "fr", 2: "en", 3: None, 5: None, 6: None}
+
+
+def test_read_table_spreads_a_table_of_many_splits(spark, tmp_path):
+    spark.range(200).repartition(12).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+        splits = spark.read.parquet(str(tmp_path / "t")).rdd.getNumPartitions()
+        rows = fi.read_table(spark, str(tmp_path / "t"), "id bigint", 2, "id")
+        assert splits > 2 and rows.rdd.getNumPartitions() == splits and rows.distinct().count() == 200
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert fi.read_table(spark, str(tmp_path / "t"), "id bigint", 500).rdd.getNumPartitions() == 500
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
