@@ -36,6 +36,24 @@ def test_cooccurrence(spark, monkeypatch, by, drop_self, run):
         assert len(got) == len(known) and all(r["inverse_weight"] == 1 / r["weight"] for r in got)
 
 
+def test_trigrams(spark, monkeypatch):
+    """Every trigram of a row is counted, in any number of runs; a text moves and is stored as counted numbers only."""
+    texts = ["abcabcABC", "xé\U0001F600é\U0001F600é", "ab", "", None, "aaaa", "   ", "abcab"]
+    docs = spark.createDataFrame([(i % 6, None if i == 1 else "en", x) for i, x in enumerate(texts)], "id bigint, language string, text string").coalesce(1)
+    wanted = Counter()
+    for i, x in enumerate(texts):
+        low = (x or "").lower()
+        wanted.update((i % 6, None if i == 1 else "en", sum(ord(c) << 21 * (2 - n) for n, c in enumerate(low[k : k + 3]))) for k in range(len(low) - 2))
+    for run in (1, 4, 1 << 20):
+        monkeypatch.setattr(te, "PAIRED_TOKENS", run)
+        found = te.trigrams(docs)
+        got = Counter()
+        for r in found.collect():
+            got[(r["id"], r["language"], r["gram"])] += r["c"]
+        assert got == wanted and dict(found.dtypes)["gram"] == "bigint"
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pairs_leave_tasks_counted():
     """A run of equal documents costs one entry a pair, not one row an occurrence."""
     batch = pa.record_batch([pa.array([[5, 7, 5]] * 1000, pa.list_(pa.int64()))], names=["codes"])
