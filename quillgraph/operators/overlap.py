@@ -3,7 +3,8 @@
 `sets` has one row per (owner, element). Owners of equal sets are one class, found by size and two hashes that add up over the elements, so
 a million nodes that cite the same works are one row. Elements are ordered from rare to frequent. Sets with o common elements share one of their
 first size - o + 1 elements, so classes are joined on these prefixes only, with bounds on sizes and on what can still be common behind the shared
-element; candidates are then counted exactly, by rows and never in a cell.
+element; candidates are then counted exactly, by rows and never in a cell. A pair meets once for each element that both prefixes hold, so few of these
+leave too little room for what is behind the prefixes: most pairs that share an element are dropped when these meetings are added up, before their sets are looked up.
 
 Hubs: an element in the prefixes of too many sets (more than `most` candidates) isn't joined by itself. Pairs for which it suffices alone are true
 pairs; they are met by their exact sizes. All others share a second element of a prefix one longer, so the key grows by an element, and so on.
@@ -60,7 +61,7 @@ def _enough(threshold: float, a: str, b: str) -> Column:
 def similar_sets(sets: DataFrame, threshold: float = 0.5, most: int = MOST) -> DataFrame:
     """a, b, size_a, size_b, common, jaccard: pairs a < b of class representatives with a coefficient of at least `threshold`; see `classes` for their members."""
     sets = cut(sets)
-    reps = classes(sets).filter("owner = rep").select("owner", F.col("size").cast("int").alias("size"))
+    reps = cut(classes(sets).filter("owner = rep").select("owner", F.col("size").cast("int").alias("size")))
     members = cut(sets.join(reps, "owner"))
     often = members.groupBy("element").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("owner").orderBy("often", "element"))
@@ -72,7 +73,8 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5, most: int = MOST) -> D
         load = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(reach(level + 1) - F.col("place")).alias("more"))
         hot = cut(load.filter((F.col("n") * F.col("n") > most) & (F.col("n") * F.col("n") > GAIN * F.col("more"))).select("key"))
         some = not hot.isEmpty()
-        pairs = _candidates(rows.join(hot, "key", "left_anti") if some else rows, threshold, level)
+        cold = rows.join(hot, "key", "left_anti") if some else rows
+        pairs = _sized(_roomy(cold, threshold), reps) if level == 1 else _candidates(cold, threshold, level)
         if some:
             full = cut(rows.join(hot, "key", "left_semi"))
             pairs = pairs.unionByName(_small(full, threshold, level))
@@ -98,6 +100,26 @@ def _candidates(rows: DataFrame, threshold: float, level: int) -> DataFrame:
     return a.join(b, "key").filter(fits & (level + left >= _enough(threshold, "size_a", "size_b"))).select("a", "b", "size_a", "size_b")
 
 
+def _roomy(rows: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs that can reach what they need, by the number of elements they share among `rows`, the first ones of each set.
+
+    Elements are in one order, so whichever of two sets ends its rows first shares nothing else but its elements without a row.
+    """
+    kept = rows.groupBy("owner").agg(F.count("*").alias("kept"))
+    rested = rows.join(kept, "owner").select("key", "owner", "size", (F.col("size") - F.col("kept")).alias("rest"))
+    a, b = (rested.select("key", F.col("owner").alias(s), F.col("size").alias(f"size_{s}"), F.col("rest").alias(f"rest_{s}")) for s in "ab")
+    fits = (F.col("a") < F.col("b")) & (F.col("size_a") >= _needed(threshold, F.col("size_b"))) & (F.col("size_b") >= _needed(threshold, F.col("size_a")))
+    least = (_enough(threshold, "size_a", "size_b") - F.greatest("rest_a", "rest_b")).cast("int")
+    met = a.join(b, "key").filter(fits).groupBy("a", "b").agg(F.count("*").alias("met"), F.max(least).alias("least"))
+    return met.filter("met >= least").select("a", "b")
+
+
+def _sized(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    for s in "ab":
+        pairs = pairs.join(reps.select(F.col("owner").alias(s), F.col("size").alias(f"size_{s}")), s)
+    return pairs.select("a", "b", "size_a", "size_b")
+
+
 def _small(rows: DataFrame, threshold: float, level: int) -> DataFrame:
     """Pairs of one key that need no more than the `level` elements of the key: every one is in the result."""
     both = math.floor(level * (1 + threshold) / threshold + 1e-9)

@@ -45,3 +45,23 @@ def test_hub_forms_no_false_pairs(spark, monkeypatch):
 
 def test_empty(spark):
     assert ov.similar_sets(spark.createDataFrame([], "owner bigint, element bigint")).count() == 0
+
+
+def test_few_pairs_are_looked_up(spark, monkeypatch):
+    """Sets that share an element or two by chance are dropped by the number of their meetings, with and without hubs; no similar pair is lost."""
+    rnd = np.random.default_rng(8)
+    sets = {k: {int(x) for x in rnd.integers(0, 1500, 20)} | ({5000, 5001} if k % 3 == 0 else set()) for k in range(300)}
+    sets |= {300 + k: set(list(sets[k])[:6 + k % 9]) | {int(x) for x in rnd.integers(2000, 2500, k % 12)} for k in range(40)}
+    df = spark.createDataFrame([(k, e) for k, s in sets.items() for e in s], "owner bigint, element bigint")
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.15 and sets[a] != sets[b]}
+    formed = []
+    inner = ov._counted
+    monkeypatch.setattr(ov, "_counted", lambda pairs, *a: formed.append(pairs.count()) or inner(pairs, *a))
+    for most in (50_000, 900):
+        assert {(r.a, r.b) for r in ov.similar_sets(df, 0.15, most).collect()} == want
+    assert len(want) > 30 and formed[0] < 3 * len(want)
+
+
+@pytest.mark.parametrize(("threshold", "most"), [(0.15, 50_000), (0.15, 20), (0.2, 100)])
+def test_loose_pairs(spark, threshold, most):
+    test_pairs(spark, threshold, most)
