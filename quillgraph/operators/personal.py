@@ -5,16 +5,19 @@ weight; at a node without out-edges it goes back to the seed. Only mass above th
 node that its mass has reached, never one per node of the graph. Score and waiting mass of a seed always add up to 1, so what waits at the
 end (at most tolerance x rows) bounds the error.
 
-All seeds share the rounds: one join with the stored edges, in which hot nodes are spread over slots, and one sum with partial aggregates.
+All seeds share the rounds: one join with the stored edges, in which hot nodes are spread over slots, one sum with partial aggregates, and joins with
+bucketed tables of earlier rounds, which stay where they are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.graph import Adjacency, Graph
-from quillgraph.session import cut, forget
+from quillgraph.session import cut_bucketed, forget
 
 
 def _shares(graph: Graph) -> DataFrame:
@@ -26,33 +29,99 @@ def _shares(graph: Graph) -> DataFrame:
     return passed.unionByName(ends.select("src", F.lit(None).cast(dict(passed.dtypes)["dst"]).alias("dst"), F.lit(1.0).alias("share")))
 
 
+#: Tables of rounds that a round meets at most.
+MERGE_AFTER = 8
+
+
+class _Push:
+    """Rounds of pushes. A round's table has the rows that got mass in it (seed, id, waiting, score), waiting with all that was left there before.
+
+    What is above the tolerance after a round is pushed in the next, so a later table tells all about a row, and older ones stay as they are: nothing but mass
+    that was sent moves. The tables are bucketed by seed and id, so the rows sent meet them without moving them. After MERGE_AFTER rounds the
+    older tables are added up to one.
+    """
+
+    def __init__(self, graph: Graph, seeds: DataFrame, damping: float, tolerance: float):
+        graph = graph.stored()
+        self.adjacency = Adjacency(_shares(graph), "src")
+        self.damping, self.tolerance = damping, tolerance
+        self.parts = int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        known = seeds.select("seed").distinct().join(graph.nodes.select(F.col("id").alias("seed")), "seed", "left_semi")
+        self.tables = [self._keep(known.select("seed", F.col("seed").alias("id"), F.lit(1.0).alias("waiting"), F.lit(0.0).alias("score")))]
+
+    def _keep(self, rows: DataFrame) -> DataFrame:
+        return cut_bucketed(rows, self.parts, "seed", "id")
+
+    def _above(self) -> Column:
+        return F.col("waiting") > self.tolerance
+
+    def _rest(self, column: str = "waiting") -> Column:
+        """What waits after the next round's push; null where there is no row."""
+        return F.when(F.col(column) > self.tolerance, 0.0).otherwise(F.col(column))
+
+    def advance(self) -> bool:
+        """Push what is above the tolerance; whether there was anything."""
+        moving = self.tables[-1].filter(self._above())
+        if moving.isEmpty():
+            return False
+        self._merge_older()
+        met = self.adjacency.attach(moving.select("seed", "id", "waiting")).select(
+            "seed", F.coalesce("dst", "seed").alias("id"), (F.lit(self.damping) * F.col("waiting") * F.col("share")).alias("got")).groupBy("seed", "id").agg(F.sum("got").alias("got"))
+        names = [f"before{i}" for i in range(len(self.tables))]
+        for name, table in zip(names, self.tables):
+            met = met.join(table.select("seed", "id", F.col("waiting").alias(name)), ["seed", "id"], "left")
+        left = F.coalesce(*[self._rest(name) for name in reversed(names)], F.lit(0.0))
+        self.tables.append(self._keep(met.select("seed", "id", (F.col("got") + left).alias("waiting"), F.lit(0.0).alias("score"))))
+        return True
+
+    def _merge_older(self) -> None:
+        if len(self.tables) <= MERGE_AFTER:
+            return
+        merged = self._keep(self._added(self.tables[:-1]))
+        for table in self.tables[:-1]:
+            forget(table)
+        self.tables = [merged, self.tables[-1]]
+
+    def _added(self, tables: list[DataFrame]) -> DataFrame:
+        """seed, id, waiting, score after all of these tables' pushes."""
+        pushed = F.when(self._above(), F.lit(1.0 - self.damping) * F.col("waiting")).otherwise(0.0)
+        rows = [table.select("seed", "id", self._rest().alias("waiting"), (F.col("score") + pushed).alias("score"), F.lit(i).alias("turn")) for i, table in enumerate(tables)]
+        return reduce(DataFrame.unionByName, rows).groupBy("seed", "id").agg(F.max_by("waiting", "turn").alias("waiting"), F.sum("score").alias("score"))
+
+    def state(self) -> DataFrame:
+        """seed, id, score, waiting; the last round's mass isn't pushed."""
+        last = self.tables[-1].select("seed", "id", F.col("waiting").alias("last"))
+        if len(self.tables) == 1:
+            return last.select("seed", "id", F.lit(0.0).alias("score"), F.col("last").alias("waiting"))
+        both = self._added(self.tables[:-1]).join(last, ["seed", "id"], "full")
+        return both.select("seed", "id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("last", "waiting").alias("waiting"))
+
+    def scores(self) -> DataFrame:
+        """seed, id, score where there is one, after a push of what is above the tolerance."""
+        pushed = F.col("score") + F.when(self._above(), F.lit(1.0 - self.damping) * F.col("waiting")).otherwise(0.0)
+        rows = [table.select("seed", "id", pushed.alias("score")).filter("score > 0") for table in self.tables]
+        return reduce(DataFrame.unionByName, rows).groupBy("seed", "id").agg(F.sum("score").alias("score"))
+
+
 def push(graph: Graph, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
     """seed, id, score, waiting: every node that mass of a seed has reached. `seeds` has column seed; unknown seeds are left out.
 
     Ends after `rounds`, or when no node holds more than `tolerance` of a seed's mass.
     """
-    graph = graph.stored()
-    adjacency = Adjacency(_shares(graph), "src")
-    known = seeds.select("seed").distinct().join(graph.nodes.select(F.col("id").alias("seed")), "seed", "left_semi")
-    state = cut(known.select("seed", F.col("seed").alias("id"), F.lit(0.0).alias("score"), F.lit(1.0).alias("waiting")))
+    run = _Push(graph, seeds, damping, tolerance)
     for _ in range(rounds):
-        moving = state.filter(F.col("waiting") > tolerance)
-        if moving.isEmpty():
+        if not run.advance():
             break
-        sent = adjacency.attach(moving.select("seed", "id", "waiting")).select(
-            "seed", F.coalesce("dst", "seed").alias("id"), F.lit(0.0).alias("score"), (F.lit(damping) * F.col("waiting") * F.col("share")).alias("waiting"))
-        above = F.col("waiting") > tolerance
-        stayed = state.select("seed", "id", F.when(above, F.col("score") + F.lit(1.0 - damping) * F.col("waiting")).otherwise(F.col("score")).alias("score"),
-                              F.when(above, 0.0).otherwise(F.col("waiting")).alias("waiting"))
-        new = cut(stayed.unionByName(sent).groupBy("seed", "id").agg(F.sum("score").alias("score"), F.sum("waiting").alias("waiting")))
-        forget(state)
-        state = new
-    return state
+    return run.state()
 
 
 def personalised_rank(graph: Graph, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
-    """seed, id, score of the nodes with a score."""
-    return push(graph, seeds, damping, tolerance, rounds).filter("score > 0").select("seed", "id", "score")
+    """seed, id, score of the nodes with a score. What the last round sends has no part in the scores and isn't sent."""
+    run = _Push(graph, seeds, damping, tolerance)
+    for _ in range(rounds - 1):
+        if not run.advance():
+            break
+    return run.scores().filter(F.lit(rounds > 0))
 
 
 SCALERS = ("min_max", "max", "mean", "log", "standard", "l1", "l2", "center")

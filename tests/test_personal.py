@@ -62,3 +62,33 @@ def test_scalers(spark, how):
 def test_unknown_scaler(spark):
     with pytest.raises(ValueError):
         pe.scale(spark.range(1).select(F.lit(1.0).alias("score")), "cube")
+
+
+@pytest.mark.parametrize("merge_after", [1, 8])
+def test_a_round_stores_only_rows_that_got_mass(spark, make, monkeypatch, merge_after):
+    """Many leaves get a little at first and stay as they are while mass goes round a ring."""
+    monkeypatch.setattr(pe, "MERGE_AFTER", merge_after)
+    edges = [(0, k, 0.001) for k in range(10, 60)] + [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0)]
+    graph, seeds = make(edges, range(60)), spark.createDataFrame([(0,)], "seed bigint")
+    sizes, keep = [], pe.cut_bucketed
+
+    def counted(rows, *how):
+        kept = keep(rows, *how)
+        sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(pe, "cut_bucketed", counted)
+    state = {r["id"]: (r["score"], r["waiting"]) for r in pe.push(graph, seeds, tolerance=1e-3, rounds=6).collect()}
+    if merge_after == 8:
+        assert sizes == [1, 51, 1, 1, 1, 1, 1]
+    assert sum(a + b for a, b in state.values()) == pytest.approx(1, abs=1e-12)
+    score, waiting = {0: 1 - 0.85}, 0.85 / 1.05
+    for step in range(5):
+        node = 1 + step % 3
+        score[node] = score.get(node, 0.0) + 0.15 * waiting
+        waiting *= 0.85
+    assert {k: a for k, (a, _) in state.items() if a} == pytest.approx(score)
+    assert state[3][1] == pytest.approx(waiting) and state[40][1] == pytest.approx(0.85 * 0.001 / 1.05)
+    ranked = {r["id"]: r["score"] for r in pe.personalised_rank(graph, seeds, tolerance=1e-3, rounds=6).collect()}
+    assert ranked == pytest.approx(score)
+    assert pe.personalised_rank(graph, seeds, rounds=0).count() == 0
